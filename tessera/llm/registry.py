@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import bpe, decontaminate, linededup, neardup, quality
+from . import attribution, bpe, decontaminate, linededup, neardup, quality, toxicity, urls
 
 QUERIES = {
+    "op1_url_filter": urls.query,
     "op2_line_dedup": linededup.query,
     "op3_quality_rules": quality.query,
     "op4_decontamination": decontaminate.query,
+    "op6_token_counts": attribution.query,
     "op7_minhash": neardup.query,
+    "op8_toxicity": toxicity.query,
     "op9_byte_bpe": bpe.query,
     "pipeline": corpus_pipeline.run,
 }
