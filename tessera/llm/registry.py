@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import attribution, bpe, decontaminate, linededup, neardup, quality, toxicity, urls
+from . import attribution, bpe, decontaminate, linededup, neardup, quality, substrings, toxicity, urls
 
 QUERIES = {
     "op1_url_filter": urls.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op7_minhash": neardup.query,
     "op8_toxicity": toxicity.query,
     "op9_byte_bpe": bpe.query,
+    "op10_substring_dedup": substrings.query,
     "pipeline": corpus_pipeline.run,
 }
 
