@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import attribution, bpe, decontaminate, linededup, neardup, quality, substrings, toxicity, urls
+from . import attribution, bpe, decontaminate, linededup, neardup, pitman_yor, quality, substrings, toxicity, urls
 
 QUERIES = {
     "op1_url_filter": urls.query,
     "op2_line_dedup": linededup.query,
     "op3_quality_rules": quality.query,
     "op4_decontamination": decontaminate.query,
+    "op5_pitman_yor": pitman_yor.query,
     "op6_token_counts": attribution.query,
     "op7_minhash": neardup.query,
     "op8_toxicity": toxicity.query,
