@@ -33,16 +33,20 @@ def token_hashes(text: Column) -> Column:
 
 
 def seeds(df: DataFrame, keep: list[str]) -> DataFrame:
-    """keep, pos and key for every window and mask of df's array column h; short arrays have none."""
-    n = len(MASKS)
-    last = (F.size("h") - _SPAN + 1) * n - 1
-    each = df.withColumn("s", F.explode(F.when(last >= 0, F.sequence(F.lit(0), last))))
-    at, m = F.expr(f"s div {n}").cast("int"), F.col("s") % n
-    hashed = [F.xxhash64(F.lit(i), *[F.get("h", at + j) for j in read]) for i, read in enumerate(_READ)]
-    key = hashed[-1]
-    for i in range(n - 1):
-        key = F.when(m == i, hashed[i]).otherwise(key)
-    return each.select(*keep, at.alias("pos"), key.alias("key"))
+    """keep, pos and key for every window and mask of df's array column h; short arrays have none.
+
+    A key is the tokens' hashes shifted by their rank in the mask and joined by exclusive or: a few
+    machine instructions, as every window of every document needs it.
+    """
+    last = F.size("h") - _SPAN
+    each = df.withColumn("pos", F.explode(F.when(last >= 0, F.sequence(F.lit(0), last))))
+    keys = []
+    for i, read in enumerate(_READ):
+        key = F.lit(i).cast("long")
+        for n, j in enumerate(read):
+            key = key.bitwiseXOR(F.shiftleft(F.get("h", F.col("pos") + j), 3 * n + i))
+        keys.append(key)
+    return each.select(*keep, "pos", F.explode(F.array(*keys)).alias("key"))
 
 
 def _around(h: Column, at: Column, before: Column) -> Column:
@@ -70,10 +74,12 @@ def overlaps(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: st
     else:
         found = seeds(read, ["doc_id"]).join(small_or_shuffled(index, rows, limit), "key")
         hits = found.join(read, "doc_id")
-    # sums of single comparisons stay in generated code, so a hit never takes its document's tokens along
-    same = F.lit(0)
-    for q in range(_SPAN + 2 * PAD):
-        same += F.when(F.get("h", F.col("pos") - F.col("before") + q) == F.get("item", F.lit(q)), 1).otherwise(0)
+    # the tokens around a hit become a row of their own, so that it doesn't take its whole document along
+    lead = F.greatest(F.col("before") - F.col("pos"), F.lit(0))
+    here = F.slice("h", F.greatest(F.col("pos") - F.col("before"), F.lit(0)) + 1, F.size("item") - lead)
+    hits = hits.select("doc_id", "item_id", "item", lead.alias("lead"), F.explode(F.array(here)).alias("here"))
+    at = F.concat(F.array_repeat(F.lit(None).cast("long"), F.col("lead")), F.col("here"))
+    same = F.size(F.filter(F.zip_with(at, F.col("item"), lambda a, b: F.coalesce(a == b, F.lit(False))), lambda x: x))
     hits = hits.select("doc_id", "item_id", same.alias("same"), F.size("item").alias("of"))
     return hits.where(F.col("same") >= F.ceil(F.col("of") * AGREE)).groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_hits"), F.max("same").cast("long").alias("most_equal"))
 
