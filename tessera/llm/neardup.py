@@ -2,10 +2,10 @@
 sets, and connected components.
 
 Documents with equal shingle sets form a class, represented by its smallest id; all further work is on
-representatives. Every bucket's members are compared with its smallest member; where that leaves a
-bucket in several components, all its pairs from different components are compared, in blocks, so no
-bucket has a cap. Links are confirmed on full sets. At a similarity of 0.8, 32 bands of 4 miss a pair
-with a probability of 5e-8, and the signature filter drops one with less than 1e-8.
+representatives. Every bucket's members are compared with its smallest member; where that leaves the
+documents that buckets connect in several components, all their pairs from different components are
+compared, in blocks, so no bucket has a cap. Links are confirmed on full sets. At a similarity of 0.8,
+32 bands of 4 miss a pair with a probability of 5e-8, and the signature filter with 4e-7.
 """
 
 from __future__ import annotations
@@ -20,10 +20,10 @@ from .common import batches, flat_words, mix, settle, small_or_shuffled, window_
 from .components import components
 
 BANDS, ROWS = 32, 4
-#: Least share of equal minima for a pair to be verified: 6 standard deviations under 0.8.
-LEAST_EQUAL = 0.58
-#: Members of a bucket that are compared with as many others at once.
-BLOCK = 256
+#: Least share of equal minima for a pair to be verified: 5 standard deviations under 0.8.
+LEAST_EQUAL = 0.62
+#: Documents that are compared with as many others in one task.
+BLOCK = 512
 _PERMS = BANDS * ROWS
 _RNG = np.random.Generator(np.random.PCG64(20240607))
 _A = _RNG.integers(0, 1 << 63, _PERMS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -75,6 +75,13 @@ def _sets(k: int):
     return F.arrow_udf(run, "array<long>")
 
 
+def _set_bytes(k: int):
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([u.tobytes() for u in shingle_sets(texts, k)], pa.binary())
+
+    return F.arrow_udf(run, "binary")
+
+
 def _equal_share():
     def run(a: pa.Array, b: pa.Array) -> pa.Array:
         x = np.frombuffer(b"".join(a.to_pylist()), np.uint32).reshape(-1, _PERMS)
@@ -98,30 +105,64 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, sigs: DataFrame, doc_id: str,
     return both.where(shared * 100 >= (F.col("u_n") + F.col("v_n") - shared) * percent).select("u", "v")
 
 
-def _cross(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of a block pair that lie in different components and have similar signatures."""
-    first, second = pdf[pdf.side == 0], pdf[pdf.side == 1]
-    if not len(second):
-        second = first
-    x = np.frombuffer(b"".join(first.sig), np.uint32).reshape(-1, _PERMS)
-    y = np.frombuffer(b"".join(second.sig), np.uint32).reshape(-1, _PERMS)
-    out = []
-    for i, (a, c, s) in enumerate(zip(first.rep, first.comp, x, strict=True)):
-        near = (second.comp.to_numpy() != c) & ((y == s).mean(axis=1) >= LEAST_EQUAL)
-        out += [(max(a, b), min(a, b)) for b in second.rep.to_numpy()[near]]
-    return pd.DataFrame(out, columns=["u", "v"], dtype="int64").drop_duplicates()
-
-
-def _rest(in_buckets: DataFrame, comps: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Pairs left to compare once the stars are linked: those of a bucket that still lie in different components."""
-    at = in_buckets.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
-    split = at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    left = at.where("n > 2").join(split, "key", "left_semi").join(sigs.select(F.col("doc_id").alias("rep"), "sig"), "rep")
-    n = F.ceil(F.col("n") / BLOCK).cast("int")
-    left = left.withColumn("block", F.pmod(F.xxhash64("rep"), n).cast("int"))
-    cells = F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.struct(F.least(j, F.col("block")).alias("i"), F.greatest(j, F.col("block")).alias("j"), F.when(j >= F.col("block"), 0).otherwise(1).alias("side")))
-    dealt = left.select("key", "rep", "comp", "sig", F.explode(cells).alias("c")).select("key", "rep", "comp", "sig", "c.*")
-    return dealt.groupBy("key", "i", "j").applyInPandas(_cross, "u long, v long").distinct()
+def _linked(percent: int):
+    """Links that join components within a pair of blocks. Pairs are tried from the most similar signatures down; of those in one component already, none is; so a task returns fewer links than it has components."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        first, second = pdf[pdf.side == 0], pdf[pdf.side == 1]
+        if not len(second):
+            second = first
+        top: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while (up := top.get(c, c)) != c:
+                top[c] = top.get(up, up)
+                c = up
+            return c
+
+        x, y = (np.frombuffer(b"".join(s.sig), np.uint32).reshape(-1, _PERMS) for s in (first, second))
+        sets = [np.frombuffer(s, np.uint64) for s in second["set"]]
+        ids, comps, sizes = second.rep.to_numpy(), second.comp.to_numpy(), np.array([len(s) for s in sets])
+        out = []
+        for rep, comp, one, sig in zip(first.rep, first.comp, first["set"], x, strict=True):
+            one = np.frombuffer(one, np.uint64)
+            near = (comps != comp) & (np.minimum(sizes, len(one)) * 100 >= np.maximum(sizes, len(one)) * percent)
+            at = np.flatnonzero(near)
+            equal = (y[at] == sig).mean(axis=1)
+            for j in at[np.argsort(-equal, kind="stable")][: int((equal >= LEAST_EQUAL).sum())]:
+                if (c := find(comp)) == (d := find(comps[j])):
+                    continue
+                where = np.searchsorted(sets[j], one)
+                shared = int((sets[j][np.minimum(where, len(sets[j]) - 1)] == one).sum())
+                if shared * 100 >= (len(one) + sizes[j] - shared) * percent:
+                    top[max(c, d)] = min(c, d)
+                    out.append((max(rep, ids[j]), min(rep, ids[j])))
+        return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+
+    return run
+
+
+def _rest(stars: DataFrame, comps: DataFrame, docs: DataFrame, sigs: DataFrame, doc_id: str, text: str, k: int, percent: int) -> DataFrame | None:
+    """Links between the components that the stars' links left, within each set of documents that buckets connect.
+
+    Documents of a set's largest component are compared only with those outside it. None if nothing is left.
+    """
+    groups = components(stars).withColumnsRenamed({"node": "rep", "component": "grp"})
+    at = groups.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "grp", F.coalesce("component", "rep").alias("comp"))
+    sizes = at.groupBy("grp", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("grp").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("comp", F.struct("n", "comp")).alias("main"))
+    sizes = sizes.where("n > most and n > 2").select("grp", "main", F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int").alias("nu"), F.ceil(F.col("most") / BLOCK).cast("int").alias("nm"))
+    left = settle(at.join(sizes, "grp"))
+    if left.isEmpty():
+        return None
+    texts = docs.select(F.col(doc_id).alias("rep"), F.col(text).cast("string").alias("text")).join(small_or_shuffled(settle(left.select("rep"))), "rep", "left_semi")
+    sets = texts.dropDuplicates(["rep"]).select("rep", _set_bytes(k)("text").alias("set"))
+    out = F.col("comp") != F.col("main")
+    block = F.when(out, F.pmod(F.xxhash64("rep"), F.col("nu"))).otherwise(F.col("nu") + F.pmod(F.xxhash64("rep"), F.col("nm"))).cast("int")
+    others = F.sequence(F.lit(0), F.when(out, F.col("nu") + F.col("nm") - 1).otherwise(F.col("nu") - 1))
+    cells = F.transform(others, lambda j: F.struct(F.least(j, block).alias("i"), F.greatest(j, block).alias("j"), F.when(j >= block, 0).otherwise(1).alias("side")))
+    dealt = left.select("grp", "rep", "comp", F.explode(cells).alias("c")).select("grp", "rep", "comp", "c.*")
+    full = dealt.join(sets.join(sigs.select(F.col("doc_id").alias("rep"), "sig"), "rep"), "rep")
+    return full.groupBy("grp", "i", "j").applyInPandas(_linked(percent), "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -141,15 +182,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * (4 * ROWS) + 1, F.lit(4 * ROWS))))
     bands = sigs.select(F.col("doc_id").alias("rep"), F.explode(keys).alias("key"))
     buckets = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("center"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("sum")).where("n > 1")
-    buckets = settle(buckets.groupBy("n", "center", "sum").agg(F.min("key").alias("key")).select("key", "n", "center"))
-    in_buckets = settle(bands.join(small_or_shuffled(buckets), "key").select("key", "rep", "center", "n"))
-    stars = in_buckets.where("rep <> center").select(F.col("rep").alias("u"), F.col("center").alias("v")).distinct()
+    buckets = settle(buckets.groupBy("n", "center", "sum").agg(F.min("key").alias("key")).select("key", "center"))
+    in_buckets = bands.join(small_or_shuffled(buckets), "key")
+    stars = settle(in_buckets.where("rep <> center").select(F.col("rep").alias("u"), F.col("center").alias("v")).distinct())
     links = settle(_confirmed(stars, docs, sigs, doc_id, text, k, percent))
     comps = settle(components(links))
-    rest = settle(_rest(in_buckets, comps, sigs))
-    if not rest.isEmpty():
-        links = links.union(_confirmed(rest, docs, sigs, doc_id, text, k, percent))
-        comps = settle(components(links))
+    rest = _rest(stars, comps, docs, sigs, doc_id, text, k, percent)
+    if rest is not None:
+        comps = settle(components(links.union(rest)))
     to = classes.join(comps, classes["class_id"] == comps["node"], "left").select("k1", "k2", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id"))
     out = base.drop("sig").join(to, ["k1", "k2", "n_shingles"], "left")
     free = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
