@@ -72,8 +72,9 @@ def overlaps(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: st
     if rows <= limit:
         hits = seeds(read, ["doc_id", "h"]).join(F.broadcast(index), "key")
     else:
-        found = seeds(read, ["doc_id"]).join(small_or_shuffled(index, rows, limit), "key")
-        hits = found.join(read, "doc_id")
+        read = read.withColumn("same_text", F.xxhash64("h"))
+        found = seeds(read, ["doc_id", "same_text"]).join(small_or_shuffled(index, rows, limit), "key")
+        hits = found.join(read.dropDuplicates(["doc_id", "same_text"]), ["doc_id", "same_text"])
     # the tokens around a hit become a row of their own, so that it doesn't take its whole document along
     lead = F.greatest(F.col("before") - F.col("pos"), F.lit(0))
     here = F.slice("h", F.greatest(F.col("pos") - F.col("before"), F.lit(0)) + 1, F.size("item") - lead)
