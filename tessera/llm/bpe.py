@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,13 +20,18 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, fresh
+from .common import batch_udf, batches, fresh
 
 #: Pieces remembered, in each of two generations; frequent pieces survive in one or the other.
 REMEMBERED = 150_000
+#: Texts that are cut into pieces at once.
+FEW = 200
 #: Bytes up to which pieces are encoded together.
 TOGETHER = 64
-_NONE = np.int64(1 << 40)
+#: Stands for no pair; times TOGETHER it fits 32 bits.
+_NONE = 1 << 24
+#: Leaves of the trees that are worked on at once: they stay in the processor's cache.
+AT_ONCE = 1 << 16
 
 
 class Encoder:
@@ -34,20 +40,23 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks, self.size = ranks, max(ranks.values(), default=0) + 1
         self.bytes = {i: b for b, i in ranks.items()}
-        self.byte = np.array([ranks.get(bytes([i]), -1) for i in range(256)], np.int64)
+        self.byte = np.array([ranks.get(bytes([i]), -1) for i in range(256)], np.int32)
         if (self.byte < 0).any():
             raise ValueError("a rank file needs all 256 single bytes")
         pairs = {ranks[t[:i]] * self.size + ranks[t[i:]]: r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
-        self.pair = pairs
         self.keys = np.array(sorted(pairs) or [-1], np.int64)
-        self.rank = np.array([pairs.get(int(k), 0) for k in self.keys], np.int64)
+        self.rank = np.array([pairs.get(int(k), 0) for k in self.keys], np.int32)
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop what is remembered of pieces."""
         self.young: dict[str, tuple[str, tuple[int, ...]]] = {}
         self.old: dict[str, tuple[str, tuple[int, ...]]] = {}
 
     def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        key = a * self.size + b
+        key = a.astype(np.int64) * self.size + b
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.rank[at], _NONE)
+        return np.where(self.keys[at] == key, self.rank[at], np.int32(_NONE))
 
     def _many(self, pieces: list[bytes], leaves: int) -> list[tuple[int, ...]]:
         """Pieces of 2 to `leaves` bytes, a power of two."""
@@ -56,20 +65,21 @@ class Encoder:
         data = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), np.uint8).reshape(n, width)
         token = self.byte[data]
         live = np.arange(width)[None, :] < size[:, None]
-        tree = np.full((n, 2 * leaves), _NONE * leaves, np.int64)
-        place = np.arange(leaves)
+        none = np.int32(_NONE * leaves)
+        tree = np.full((n, 2 * leaves), none, np.int32)
+        place = np.arange(leaves, dtype=np.int32)
         paired = live[:, 1:]
-        tree[:, leaves:] = np.where(paired, self._ranks(token[:, :-1], token[:, 1:]) * leaves + place, _NONE * leaves)
+        tree[:, leaves:] = np.where(paired, self._ranks(token[:, :-1], token[:, 1:]) * np.int32(leaves) + place, none)
         for level in range(leaves.bit_length() - 2, -1, -1):
             a, b = 1 << level, 2 << level
             tree[:, a:b] = tree[:, b : 2 * b].reshape(n, a, 2).min(axis=2)
-        after = np.tile(np.arange(1, width + 1), (n, 1))
-        before = np.tile(np.arange(-1, width - 1), (n, 1))
+        after = np.tile(np.arange(1, width + 1, dtype=np.int32), (n, 1))
+        before = np.tile(np.arange(-1, width - 1, dtype=np.int32), (n, 1))
         flat, tok, nxt, prv, alive = tree.ravel(), token.ravel(), after.ravel(), before.ravel(), live.ravel()
         rows = np.arange(n)
         while True:
             root = flat[rows * (2 * leaves) + 1]
-            some = root < _NONE * leaves
+            some = root < none
             rows, root = rows[some], root[some]
             if not len(rows):
                 break
@@ -81,12 +91,12 @@ class Encoder:
             has_k, has_p = k < end, p >= 0
             prv[(base + k)[has_k]] = i[has_k]
             top = rows * (2 * leaves)
-            flat[top + leaves + np.minimum(j, leaves - 1)] = np.where(j < leaves, _NONE * leaves, flat[top + 2 * leaves - 1])
+            flat[top + leaves + np.minimum(j, leaves - 1)] = np.where(j < leaves, none, flat[top + 2 * leaves - 1])
             right = self._ranks(rank, tok[base + np.minimum(k, leaves)])
-            flat[top + leaves + i] = np.where(has_k, right * leaves + i, _NONE * leaves)
+            flat[top + leaves + i] = np.where(has_k, right * np.int32(leaves) + i, none)
             q = np.maximum(p, 0)
             left = self._ranks(tok[base + q], rank)
-            flat[(top + leaves + q)[has_p]] = (left * leaves + q)[has_p]
+            flat[(top + leaves + q)[has_p]] = (left * np.int32(leaves) + q)[has_p]
             spots = [leaves + i, leaves + np.minimum(j, leaves - 1), leaves + np.where(has_p, q, i)]
             for _ in range(leaves.bit_length() - 1):
                 spots = [s >> 1 for s in spots]
@@ -96,10 +106,15 @@ class Encoder:
         return [tuple(t[a].tolist()) for t, a in zip(token, live, strict=True)]
 
     def _long(self, piece: bytes) -> tuple[int, ...]:
-        n, none, pair, size = len(piece), 1 << 60, self.pair, self.size
+        n, none, size = len(piece), 1 << 60, self.size
         leaves = 1 << max(1, (n - 1).bit_length())
         tok = [int(self.byte[b]) for b in piece]
-        at = lambda i, j: pair[x] * leaves + i if (x := tok[i] * size + tok[j]) in pair else none
+
+        def at(i: int, j: int) -> int:
+            key = tok[i] * size + tok[j]
+            k = int(self.keys.searchsorted(key))
+            return int(self.rank[k]) * leaves + i if k < len(self.keys) and self.keys[k] == key else none
+
         tree = [none] * (2 * leaves)
         for i in range(n - 1):
             tree[leaves + i] = at(i, i + 1)
@@ -142,7 +157,7 @@ class Encoder:
             elif p:
                 sizes.setdefault(max(2, 1 << (len(p) - 1).bit_length()), []).append(at)
         for leaves, ats in sizes.items():
-            for i in range(0, len(ats), step := (1 << 20) // leaves):
+            for i in range(0, len(ats), step := AT_ONCE // leaves):
                 part = ats[i : i + step]
                 for at, ids in zip(part, self._many([pieces[x] for x in part], leaves), strict=True):
                     out[at] = ids
@@ -151,23 +166,28 @@ class Encoder:
     def texts(self, texts: list[str | None], pattern) -> list[tuple[list[int], str]]:
         """Ids of each text, also as decimal numbers joined by commas."""
         cut = [pattern.findall(t) if t else [] for t in texts]
-        need = {p for c in cut for p in c}
-        known = {}
+        known: dict[str, tuple[str, tuple[int, ...]]] = {}
         new = []
-        for p in need:
-            hit = self.young.get(p) or self.old.get(p)
-            if hit:
-                known[p] = hit
-            else:
+        young, old = self.young, self.old
+        for p in set().union(*cut):
+            hit = young.get(p)
+            if hit is None and (hit := old.get(p)) is not None:
+                young[p] = hit
+            if hit is None:
                 new.append(p)
+            else:
+                known[p] = hit
         for p, ids in zip(new, self.pieces([p.encode("utf-8", "surrogatepass") for p in new]), strict=True):
-            known[p] = (",".join(map(str, ids)), ids)
-        for p, hit in known.items():
+            known[p] = hit = ",".join(map(str, ids)), ids
             if len(p) <= TOGETHER:
-                self.young[p] = hit
-                if len(self.young) >= REMEMBERED:
-                    self.old, self.young = self.young, {}
-        return [([i for p in c for i in known[p][1]], ",".join([known[p][0] for p in c])) for c in cut]
+                young[p] = hit
+        if len(young) >= REMEMBERED:
+            self.old, self.young = young, {}
+        out = []
+        for c in cut:
+            hits = list(map(known.__getitem__, c))
+            out.append((list(chain.from_iterable([h[1] for h in hits])), ",".join([h[0] for h in hits])))
+        return out
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
@@ -207,22 +227,20 @@ def encoded(docs: DataFrame, path: str, pattern: str, text: str = "text", with_i
     name = _ship(docs.sparkSession, path)
 
     def run(texts: pa.Array) -> pa.Array:
-        enc = _encoder(name)
-        done = enc.texts(texts.to_pylist(), _pattern(pattern))
+        enc, sizes, ids, said, back = _encoder(name), [], [], [], []
         sha = lambda b: hashlib.sha256(b).hexdigest()
-        return pa.StructArray.from_arrays(
-            [
-                pa.array([len(ids) for ids, _ in done], pa.int64()),
-                pa.array([ids if with_ids else None for ids, _ in done], pa.list_(pa.int32())),
-                pa.array([sha(s.encode()) for _, s in done], pa.string()),
-                pa.array([sha(enc.decode(ids)) for ids, _ in done], pa.string()),
-            ],
-            ["n_tokens", "ids", "ids_sha256", "decoded_sha256"],
-        )
+        for i in range(0, len(texts), FEW):
+            for own, line in enc.texts(texts.slice(i, FEW).to_pylist(), _pattern(pattern)):
+                sizes.append(len(own))
+                ids.append(np.array(own, np.int32) if with_ids else None)
+                said.append(sha(line.encode()))
+                back.append(sha(enc.decode(own)))
+        columns = [pa.array(sizes, pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(said, pa.string()), pa.array(back, pa.string())]
+        return pa.StructArray.from_arrays(columns, ["n_tokens", "ids", "ids_sha256", "decoded_sha256"])
 
     out = fresh(docs, "bpe")
-    udf = F.arrow_udf(run, "n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")
-    return docs.withColumn(out, udf(F.col(text).cast("string"))), out
+    kind = "n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string"
+    return docs.withColumn(out, batch_udf(run, kind, F.col(text).cast("string"), after=lambda: _encoder(name).forget())), out
 
 
 def decoded(df: DataFrame, path: str, ids: str = "ids", text: str = "text") -> DataFrame:
@@ -233,7 +251,7 @@ def decoded(df: DataFrame, path: str, ids: str = "ids", text: str = "text") -> D
         enc = _encoder(name)
         return pa.array([None if x is None else enc.decode(x).decode("utf-8", "replace") for x in lists.to_pylist()], pa.string())
 
-    return df.withColumn(text, F.arrow_udf(run, "string")(F.col(ids)))
+    return df.withColumn(text, batch_udf(run, "string", F.col(ids)))
 
 
 def multi() -> tuple[str, str]:

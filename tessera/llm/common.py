@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 import tempfile
+from collections.abc import Callable
+from typing import Iterator, Tuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a side of a join may be broadcast; beyond it the join shuffles.
@@ -37,12 +41,73 @@ def small_or_shuffled(df: DataFrame, rows: int | None = None, limit: int = BROAD
     return F.broadcast(df) if n <= limit else df.hint("merge")
 
 
-def batches(spark: SparkSession, records: int = 1000, size: int = 16 << 20) -> None:
+def batches(spark: SparkSession, records: int = 1000, size: int = 4 << 20) -> None:
     """Bound what one Arrow batch of texts holds."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(records))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
+_LIBC = ctypes.CDLL(ctypes.util.find_library("c") or None)
+
+
+def tidy() -> None:
+    """Give freed memory back to the system, as worker processes stay for a while after a task."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
+def tidied(f: Callable) -> Callable:
+    """f, a generator function over a task's batches, with tidy() at its end."""
+
+    def run(it):
+        try:
+            yield from f(it)
+        finally:
+            tidy()
+
+    return run
+
+
+def tidied_group(f: Callable) -> Callable:
+    """f, a function of a group's frame, with tidy() after large groups."""
+
+    def run(pdf):
+        n = len(pdf)
+        out = f(pdf)
+        del pdf
+        if n > 64:
+            tidy()
+        return out
+
+    return run
+
+
+def batch_udf(f: Callable, kind: str, *columns: Column | str, after: Callable[[], None] | None = None) -> Column:
+    """f of Arrow arrays, batch by batch; `after` and tidy() run when a task is done."""
+
+    def end() -> None:
+        if after is not None:
+            after()
+        tidy()
+
+    def one(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        try:
+            for x in it:
+                yield f(x)
+        finally:
+            end()
+
+    def more(it: Iterator[Tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        try:
+            for xs in it:
+                yield f(*xs)
+        finally:
+            end()
+
+    return F.arrow_udf(one if len(columns) == 1 else more, kind)(*columns)
+
+
 def fresh(df: DataFrame, stem: str) -> str:
     """A column name that df doesn't have."""
     name, have = f"__{stem}", {c.lower() for c in df.columns}
