@@ -24,14 +24,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, flat_words, mix, settle, window_hash, word_hashes, words
+from .common import batch_udf, batches, flat_words, mix, settle, tidied, tidied_group, window_hash, word_hashes, words
 
 #: Words of a window that may not repeat, and of a block; 2 * BLOCK - 1 <= WINDOW + 1 words.
 WINDOW, BLOCK = 20, 10
 #: Characters of text to each part of the hash range.
-PART_CHARS = 16_000_000
+PART_CHARS = 4_000_000
 #: Bytes up to which the places found are broadcast to the documents.
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 64 << 20
 _SECOND = np.uint64(0xD6E8FEB86659FD93)
 _SENT = "chunk long, part int, low binary, high binary, place binary, flag binary, head binary"
 _GOT = "chunk long, head binary, place binary"
@@ -74,9 +74,9 @@ def _split(chunk: int, h: np.ndarray, low: np.ndarray, high: np.ndarray | None,
             yield chunk, p, low[at].tobytes(), None if high is None else high[at].tobytes(), _places(place[at].astype(np.uint32)), None if flag is None else np.packbits(flag[at]).tobytes(), head
 
 
-def _five(h: np.ndarray) -> np.ndarray:
-    """The lower 40 bits as 5 bytes: enough within a part for a filter."""
-    return np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)[:, :5]
+def _short(h: np.ndarray) -> np.ndarray:
+    """The lower 32 bits: within a part, which is of a fixed size, enough for a filter."""
+    return h.astype(np.uint32)
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -121,7 +121,7 @@ def _probe(parts: int):
                 at = real[at]  # windows of documents that are long enough
                 w = window_hash(h, BLOCK)[at]
                 turn = at - np.repeat(starts[:-1], n)[at]
-                rows += _split(chunk, w, _five(w), None, at, turn % BLOCK == 0, parts, None)
+                rows += _split(chunk, w, _short(w), None, at, turn % BLOCK == 0, parts, None)
             yield _rows(rows)
 
     return run
@@ -132,11 +132,8 @@ def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
     out = [(r.chunk, r.head, None) for r in pdf[pdf.part < 0].itertuples()]
     pdf = pdf[pdf.part >= 0]
     if len(pdf):
-        low = np.frombuffer(b"".join(pdf.low), np.uint8).reshape(-1, 5)
-        sizes = np.array([len(x) // 5 for x in pdf.low])
-        code = np.zeros((len(low), 8), np.uint8)
-        code[:, :5] = low
-        code = code.view(np.uint64).ravel()
+        code = np.frombuffer(b"".join(pdf.low), np.uint32)
+        sizes = np.array([len(x) // 4 for x in pdf.low])
         flag = np.concatenate([np.unpackbits(np.frombuffer(f, np.uint8), count=n) for f, n in zip(pdf.flag, sizes, strict=True)]).astype(bool)
         ref = np.sort(code[flag])
         # a reference block answers others if it occurs twice in all, itself included
@@ -169,7 +166,7 @@ def _by_document(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _extend(parts: int):
-    """Windows that hold a hit, sent with what orders them: ids and starts of the batch's documents."""
+    """Windows that hold a hit, sent with what orders them: ids and starts of the batch's documents, in byte planes."""
 
     def run(it):
         for b in it:
@@ -188,7 +185,8 @@ def _extend(parts: int):
             at = at[np.cumsum(want)[at] > 0]
             if len(at):
                 w, v = window_hash(h, WINDOW)[at], window_hash(h, WINDOW, _SECOND)[at]
-                rows += _split(chunk, w, w, (v >> np.uint64(32)).astype(np.uint32), at, None, parts, head)
+                order = _pack(np.concatenate([ids.view(np.uint64), starts.astype(np.uint64)]).view(np.uint8).reshape(-1, 8).T)
+                rows += _split(chunk, w, w, (v >> np.uint64(32)).astype(np.uint32), at, None, parts, order)
             yield _rows(rows)
 
     return run
@@ -202,9 +200,9 @@ def _first_wins(pdf: pd.DataFrame) -> pd.DataFrame:
         low, high = np.frombuffer(b"".join(pdf.low), np.uint64), np.frombuffer(b"".join(pdf.high), np.uint32)
         places, ids, turns = [], [], []
         for head, place in zip(pdf["head"], pdf.place, strict=True):
-            x, at = _unpack(head, np.uint64), _places_back(place)
-            n = (len(x) - 1) // 4
-            starts = x[3 * n :].astype(np.int64)
+            x, at = np.ascontiguousarray(_unpack(head, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), _places_back(place)
+            n = len(x) // 2
+            starts = x[n:].astype(np.int64)
             doc = np.searchsorted(starts, at, "right") - 1
             places.append(at)
             ids.append(x[:n].view(np.int64)[doc])
@@ -245,26 +243,26 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     docs = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(8, math.ceil(chars / PART_CHARS))
-    sent = docs.mapInArrow(_probe(parts), _SENT)
-    hit = sent.groupBy("part").applyInPandas(_meet, _GOT)
-    found = settle(hit.groupBy("chunk").applyInPandas(_by_document, "doc_id long, k1 long, k2 long, n_words long, hits binary").where(F.col("n_words") >= WINDOW))
+    sent = docs.mapInArrow(tidied(_probe(parts)), _SENT)
+    hit = sent.groupBy("part").applyInPandas(tidied_group(_meet), _GOT)
+    found = settle(hit.groupBy("chunk").applyInPandas(tidied_group(_by_document), "doc_id long, k1 long, k2 long, n_words long, hits binary").where(F.col("n_words") >= WINDOW))
     # of documents of equal words only those of the smallest id can hold a first occurrence; the others go whole
     key = ["k1", "k2", "n_words"]
     many = settle(found.groupBy(*key).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where(F.col("first") < F.col("last")).drop("last"))
     at = found.where("hits is not null").join(many.hint("merge"), key, "left")
     whole = at.where(F.col("doc_id") > F.col("first")).select("doc_id", "k1", "k2", _span_of("n_words").alias("cuts"))
     left = at.where(F.col("first").isNull() | (F.col("doc_id") == F.col("first")))
-    left = settle(left.groupBy("doc_id").agg(F.max("hits").alias("hits"), F.collect_set(F.struct("k1", "k2", "hits")).alias("each")))
-    with_text = docs.join(_near(docs, left, "doc_id", "size(each) * 32 + length(hits) * size(each)"), "doc_id").select("doc_id", "text", _matching()("text", "each").alias("hits"))
-    parts = max(8, math.ceil(parts / 2))
-    sent = with_text.where("hits is not null").mapInArrow(_extend(parts), _SENT)
-    cut = sent.groupBy("part").applyInPandas(_first_wins, _GOT).groupBy("chunk").applyInPandas(_cuts, "doc_id long, k1 long, k2 long, cuts binary")
+    left = settle(left.groupBy("doc_id").agg(F.collect_set(F.struct("k1", "k2", "hits")).alias("each")))
+    with_text = docs.join(_near(docs, left, "doc_id", "aggregate(each, 0L, (n, x) -> n + length(x.hits) + 32)"), "doc_id").select("doc_id", "text", _matching("text", "each").alias("hits"))
+    parts = max(8, math.ceil(parts / 3))
+    sent = with_text.where("hits is not null").mapInArrow(tidied(_extend(parts)), _SENT)
+    cut = sent.groupBy("part").applyInPandas(tidied_group(_first_wins), _GOT).groupBy("chunk").applyInPandas(tidied_group(_cuts), "doc_id long, k1 long, k2 long, cuts binary")
     return cut.union(whole).groupBy("doc_id").agg(F.collect_set(F.struct("k1", "k2", "cuts")).alias("cuts"))
 
 
 def _span_of(n: str):
     """The span (0, n) in the bytes of two little-endian uint32."""
-    return F.arrow_udf(lambda x: pa.array([np.array([0, v], np.uint32).tobytes() for v in x.to_pylist()], pa.binary()), "binary")(n)
+    return batch_udf(lambda x: pa.array([np.array([0, v], np.uint32).tobytes() for v in x.to_pylist()], pa.binary()), "binary", n)
 
 
 def _keys(texts: pa.Array) -> list[tuple[int, int]]:
@@ -277,8 +275,8 @@ def _pick(keys, each, field: str) -> list[bytes | None]:
     return [next((x[field] for x in xs or () if (x["k1"], x["k2"]) == k), None) for k, xs in zip(keys, each, strict=True)]
 
 
-def _matching():
-    return F.arrow_udf(lambda t, e: pa.array(_pick(_keys(t), e.to_pylist(), "hits"), pa.binary()), "binary")
+def _matching(text: str, each: str):
+    return batch_udf(lambda t, e: pa.array(_pick(_keys(t), e.to_pylist(), "hits"), pa.binary()), "binary", text, each)
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", name: str = "repeats", with_text: bool = True) -> DataFrame:
@@ -290,7 +288,7 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", na
     at the same place; an empty table gives an empty result; other columns pass through.
     """
     found = settle(repeats(docs, doc_id, text).withColumnsRenamed({"doc_id": "__cut_id", "cuts": "__cuts"}))
-    out = docs.join(_near(docs, found, "__cut_id", "length(__cuts[0].cuts) * size(__cuts) + 64"), docs[doc_id] == found["__cut_id"], "left")
+    out = docs.join(_near(docs, found, "__cut_id", "aggregate(__cuts, 0L, (n, x) -> n + length(x.cuts) + 32)"), docs[doc_id] == found["__cut_id"], "left")
 
     def run(texts: pa.Array, cuts: pa.Array) -> pa.Array:
         given = cuts.to_pylist()
@@ -316,8 +314,8 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", na
             sha.append(hashlib.sha256(line).hexdigest())
         return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), pa.array(sha, pa.string())], ["n_words", "n_removed", "kept", "kept_sha256"])
 
-    udf = F.arrow_udf(run, "n_words long, n_removed long, kept string, kept_sha256 string")
-    return out.withColumn(name, udf(F.col(text).cast("string"), F.col("__cuts"))).drop("__cut_id", "__cuts")
+    kind = "n_words long, n_removed long, kept string, kept_sha256 string"
+    return out.withColumn(name, batch_udf(run, kind, F.col(text).cast("string"), F.col("__cuts"))).drop("__cut_id", "__cuts")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
