@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import settle
 
+#: Edges to a task: a small graph is not spread over many tasks and files, a large one over as many as it needs.
+TOGETHER = 50_000
+
 
-def _large_star(e: DataFrame) -> DataFrame:
-    both = e.union(e.select("v", "u"))
+def _large_star(e: DataFrame, tasks: int) -> DataFrame:
+    both = e.coalesce(tasks)
+    both = both.union(both.select("v", "u"))
     low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(tasks)
 
 
-def _small_star(e: DataFrame) -> DataFrame:
+def _small_star(e: DataFrame, tasks: int) -> DataFrame:
     low = e.groupBy("u").agg(F.min("v").alias("m"))
     moved = e.join(low, "u").where(F.col("v") > F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(low.select("u", F.col("m").alias("v"))).distinct()
+    return moved.union(low.select("u", F.col("m").alias("v"))).coalesce(tasks).distinct().coalesce(tasks)
 
 
 def _print(e: DataFrame) -> tuple:
@@ -33,7 +39,8 @@ def components(edges: DataFrame) -> DataFrame:
     e = settle(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     was = _print(e)
     while was[0]:
-        e = settle(_small_star(_large_star(e)))
+        tasks = 2 * math.ceil(was[0] / TOGETHER)
+        e = settle(_small_star(_large_star(e, tasks), tasks))
         now = _print(e)
         if now == was:
             break

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, flat_words, mix, settle, small_or_shuffled, window_hash, word_hashes
+from .common import batch_udf, batches, flat_words, mix, settle, small_or_shuffled, tidied_group, window_hash, word_hashes
 from .components import components
 
 BANDS, ROWS = 32, 4
@@ -55,7 +55,7 @@ def minima(u: np.ndarray) -> bytes:
     return (low >> np.uint64(32)).astype(np.uint32).tobytes()
 
 
-def _signatures(k: int):
+def _signatures(k: int, text: Column) -> Column:
     def run(texts: pa.Array) -> pa.Array:
         n, sig, k1, k2 = [], [], [], []
         for u in shingle_sets(texts, k):
@@ -65,40 +65,40 @@ def _signatures(k: int):
             k2.append(mix(u ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).astype(np.int64))
         return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64())], ["n_shingles", "sig", "k1", "k2"])
 
-    return F.arrow_udf(run, _SIG)
+    return batch_udf(run, _SIG, text)
 
 
-def _sets(k: int):
+def _sets(k: int, text: Column | str) -> Column:
     def run(texts: pa.Array) -> pa.Array:
         return pa.array([u.astype(np.int64) for u in shingle_sets(texts, k)], pa.list_(pa.int64()))
 
-    return F.arrow_udf(run, "array<long>")
+    return batch_udf(run, "array<long>", text)
 
 
-def _set_bytes(k: int):
+def _set_bytes(k: int, text: Column | str) -> Column:
     def run(texts: pa.Array) -> pa.Array:
         return pa.array([u.tobytes() for u in shingle_sets(texts, k)], pa.binary())
 
-    return F.arrow_udf(run, "binary")
+    return batch_udf(run, "binary", text)
 
 
-def _equal_share():
+def _equal_share(a: Column | str, b: Column | str) -> Column:
     def run(a: pa.Array, b: pa.Array) -> pa.Array:
         x = np.frombuffer(b"".join(a.to_pylist()), np.uint32).reshape(-1, _PERMS)
         y = np.frombuffer(b"".join(b.to_pylist()), np.uint32).reshape(-1, _PERMS)
         return pa.array((x == y).mean(axis=1) if len(x) else [], pa.float64())
 
-    return F.arrow_udf(run, "double")
+    return batch_udf(run, "double", a, b)
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, sigs: DataFrame, doc_id: str, text: str, k: int, percent: int) -> DataFrame:
     """The (u, v) of pairs whose sets are similar enough: first by signatures and sizes, then by the sets."""
     s = lambda x: sigs.select(F.col("doc_id").alias(x), F.col("sig").alias(f"{x}_sig"), F.col("n_shingles").alias(f"{x}_n"))
     likely = pairs.join(s("u"), "u").join(s("v"), "v").where(F.least("u_n", "v_n") * 100 >= F.greatest("u_n", "v_n") * percent)
-    likely = settle(likely.where(_equal_share()("u_sig", "v_sig") >= LEAST_EQUAL).select("u", "v", "u_n", "v_n"))
+    likely = settle(likely.where(_equal_share("u_sig", "v_sig") >= LEAST_EQUAL).select("u", "v", "u_n", "v_n"))
     ids = settle(likely.select(F.col("u").alias("id")).union(likely.select(F.col("v").alias("id"))).distinct())
     texts = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
-    sets = texts.join(small_or_shuffled(ids), "id", "left_semi").dropDuplicates(["id"]).select("id", _sets(k)("text").alias("set"))
+    sets = texts.join(small_or_shuffled(ids), "id", "left_semi").dropDuplicates(["id"]).select("id", _sets(k, "text").alias("set"))
     sets = settle(sets)
     both = likely.join(sets.toDF("u", "u_set"), "u").join(sets.toDF("v", "v_set"), "v")
     shared = F.size(F.array_intersect("u_set", "v_set"))
@@ -155,14 +155,14 @@ def _rest(stars: DataFrame, comps: DataFrame, docs: DataFrame, sigs: DataFrame,
     if left.isEmpty():
         return None
     texts = docs.select(F.col(doc_id).alias("rep"), F.col(text).cast("string").alias("text")).join(small_or_shuffled(settle(left.select("rep"))), "rep", "left_semi")
-    sets = texts.dropDuplicates(["rep"]).select("rep", _set_bytes(k)("text").alias("set"))
+    sets = texts.dropDuplicates(["rep"]).select("rep", _set_bytes(k, "text").alias("set"))
     out = F.col("comp") != F.col("main")
     block = F.when(out, F.pmod(F.xxhash64("rep"), F.col("nu"))).otherwise(F.col("nu") + F.pmod(F.xxhash64("rep"), F.col("nm"))).cast("int")
     others = F.sequence(F.lit(0), F.when(out, F.col("nu") + F.col("nm") - 1).otherwise(F.col("nu") - 1))
     cells = F.transform(others, lambda j: F.struct(F.least(j, block).alias("i"), F.greatest(j, block).alias("j"), F.when(j >= block, 0).otherwise(1).alias("side")))
     dealt = left.select("grp", "rep", "comp", F.explode(cells).alias("c")).select("grp", "rep", "comp", "c.*")
     full = dealt.join(sets.join(sigs.select(F.col("doc_id").alias("rep"), "sig"), "rep"), "rep")
-    return full.groupBy("grp", "i", "j").applyInPandas(_linked(percent), "u long, v long").distinct()
+    return full.groupBy("grp", "i", "j").applyInPandas(tidied_group(_linked(percent)), "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -174,7 +174,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     empty table gives an empty result.
     """
     batches(docs.sparkSession)
-    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), _signatures(k)(F.col(text).cast("string")).alias("s")).select("doc_id", "s.*")
+    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), _signatures(k, F.col(text).cast("string")).alias("s")).select("doc_id", "s.*")
     base = settle(base)
     real = base.where("n_shingles > 0 and doc_id is not null")
     classes = settle(real.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("class_id")))
