@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import _ship, parse
-from .common import batches, fresh
+from .common import batch_udf, batches, fresh
 
 RULES = ("first", "last", "share")
 
@@ -104,8 +104,8 @@ def attributed(docs: DataFrame, path: str, pattern: str, text: str = "text", spa
     out = fresh(docs, "tokens")
     kind = "n_tokens long, parts array<struct<start: long, end: long, tokens: double>>"
     if spans is None:
-        return docs.withColumn(out, F.arrow_udf(lambda t: run(t), kind)(F.col(text).cast("string"))), out
-    return docs.withColumn(out, F.arrow_udf(lambda t, g: run(t, g), kind)(F.col(text).cast("string"), F.col(spans))), out
+        return docs.withColumn(out, batch_udf(run, kind, F.col(text).cast("string"))), out
+    return docs.withColumn(out, batch_udf(run, kind, F.col(text).cast("string"), F.col(spans))), out
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACES, batches, fresh, settle, small_or_shuffled, words
+from .common import SPACES, batch_udf, batches, fresh, settle, small_or_shuffled, words
 
 #: Characters counted as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -81,7 +81,7 @@ def _measured(texts: pa.Array) -> pa.Array:
 
 def counts(text: Column) -> Column:
     """Struct of base counts of a text column."""
-    return F.arrow_udf(_measured, _DDL)(text.cast("string"))
+    return batch_udf(_measured, _DDL, text.cast("string"))
 
 
 def _rates(m: Column) -> list[Column]:

@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, batches
+from .common import ascii_lower, batch_udf, batches
 
 #: Bound of the labelled sample that the model is fitted on: documents of each class (those with the
 #: least hashes of their ids) and characters of each.
@@ -171,7 +171,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text", name: str = "score
     def run(texts: pa.Array) -> pa.Array:
         return pa.array(model.score(texts.to_pylist()), pa.float64())
 
-    return docs.withColumn(name, F.arrow_udf(run, "double")(F.col(text).cast("string")))
+    return docs.withColumn(name, batch_udf(run, "double", F.col(text).cast("string")))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

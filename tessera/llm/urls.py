@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, settle, small_or_shuffled
+from .common import batch_udf, fresh, settle, small_or_shuffled
 
 #: A host is blocked if its rate of good pages is under FLOOR with a probability of at least SURE.
 FLOOR, SURE = 0.5, 0.95
@@ -73,12 +73,12 @@ def beta_cdf(x: float, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(flip, 1 - front * f, front * f)
 
 
-def _below(floor: float):
-    def run(a: pa.Array, b: pa.Array) -> pa.Array:
-        x, y = a.to_numpy(zero_copy_only=False), b.to_numpy(zero_copy_only=False)
+def _below(floor: float, a: Column | str, b: Column | str) -> Column:
+    def run(s: pa.Array, t: pa.Array) -> pa.Array:
+        x, y = s.to_numpy(zero_copy_only=False), t.to_numpy(zero_copy_only=False)
         return pa.array(beta_cdf(floor, x, y) if len(x) else [], pa.float64())
 
-    return F.arrow_udf(run, "double")
+    return batch_udf(run, "double", a, b)
 
 
 def _strength(groups: DataFrame) -> float:
@@ -108,7 +108,7 @@ def reputations(hosts: DataFrame, floor: float = FLOOR) -> DataFrame:
     hosts = hosts.join(small_or_shuffled(domains), "domain")
     s = _strength(hosts)
     a, b = F.col("k") + s * F.col("mean"), F.col("n") - F.col("k") + s * (1 - F.col("mean"))
-    return hosts.select("host", a.alias("a"), b.alias("b")).withColumn("p_below", _below(floor)("a", "b"))
+    return hosts.select("host", a.alias("a"), b.alias("b")).withColumn("p_below", _below(floor, "a", "b"))
 
 
 def judged(pages: DataFrame, outcomes: DataFrame, page_id: str = "page_id", url: str = "url", rules=RULES, floor: float = FLOOR, sure: float = SURE) -> tuple[DataFrame, str]:
