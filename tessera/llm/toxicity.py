@@ -1,16 +1,14 @@
 """Toxicity by compression distance: windows of a text are compressed with a zstandard dictionary of
 ordinary text and with one of toxic text, and what the second saves is the evidence.
 
-The ordinary dictionary is trained on windows of ordinary documents. The toxic one holds the byte
-strings that occur in far more toxic than ordinary documents, and after them the ordinary one, so
-that common language costs the same with either and only toxic strings make a difference. How much
-has to be saved is calibrated on labelled documents that the dictionaries have not seen.
+Both dictionaries are trained by zstandard, one on windows of ordinary documents and one, of short
+segments, on windows of toxic documents. The toxic one is followed by the ordinary one, so that common
+language costs the same with either and only toxic text makes a difference. How much has to be saved
+is calibrated on labelled documents that the dictionaries have not seen.
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -26,12 +24,13 @@ from .common import ascii_lower, batch_udf, batches
 #: least hashes of their ids) and characters of each.
 SAMPLE = {1: 2000, 0: 4000}
 SAMPLE_CHARS = 16_384
-#: Bytes of a window (it ends with the word that reaches them), of the ordinary dictionary, of the toxic strings.
-WINDOW, ORDINARY_BYTES, TOXIC_BYTES = 64, 16_384, 2048
-#: Length of the byte strings counted, and their least z-score as a share of the highest.
-GRAM, SHARE = 5, 0.3
+#: Bytes of a window (it ends with the word that reaches them), of the ordinary and of the toxic dictionary.
+WINDOW, ORDINARY_BYTES, TOXIC_BYTES = 64, 65_536, 2048
+#: Of the toxic dictionary's training: bytes of a segment and of the strings counted in it (short, as few words of a toxic text are toxic).
+SEGMENT, MATCH = 20, 6
+#: Windows that a dictionary is trained on, spread evenly over the sample's.
+TRAIN_WINDOWS = 40_000
 LEVEL = 6
-_EDGES = b".,;:!?\"'()[]{}"
 
 
 def windows(text: str | None) -> list[bytes]:
@@ -50,46 +49,12 @@ def windows(text: str | None) -> list[bytes]:
     return out
 
 
-def _padded(text: str) -> set[bytes]:
-    return {b" " + w.strip(_EDGES) + b" " for w in ascii_lower(text).split()}
-
-
-def _grams(text: str) -> set[bytes]:
-    return {w[i : i + GRAM] for w in _padded(text) for i in range(max(1, len(w) - GRAM + 1))}
-
-
-def toxic_strings(toxic: list[str], ordinary: list[str]) -> bytes:
-    """Strings typical of toxic texts, the most frequent last; empty if there are none."""
-    t = Counter()
-    for x in toxic:
-        t.update(_grams(x))
-    t = Counter({g: n for g, n in t.items() if n >= 3})
-    o: Counter = Counter()
-    for x in ordinary:
-        o.update(g for g in _grams(x) if g in t)
-    nt, no = max(len(toxic), 1), max(len(ordinary), 1)
-
-    def z(g: bytes) -> float:
-        p = (t[g] + o[g]) / (nt + no)
-        s = math.sqrt(p * (1 - p) * (1 / nt + 1 / no))
-        return (t[g] / nt - o[g] / no) / s if s else 0.0
-
-    scores = {g: z(g) for g in t if t[g] / nt >= 4 * (o[g] + 0.5) / no}
-    least = max(4.0, SHARE * max(scores.values(), default=0.0))
-    hot = {g for g, s in scores.items() if s >= least}
-    found: Counter = Counter()
-    for x in toxic:
-        for w in _padded(x):
-            at = [i for i in range(max(1, len(w) - GRAM + 1)) if w[i : i + GRAM] in hot]
-            if at:
-                found[w[at[0] : at[-1] + GRAM]] += 1
-    kept: list[bytes] = []
-    for f, _ in sorted(found.items(), key=lambda x: (-x[1], x[0])):
-        if sum(map(len, kept)) + len(f) > TOXIC_BYTES:
-            break
-        if not any(f in k for k in kept):
-            kept.append(f)
-    return b"".join(reversed(kept))
+def trained(samples: list[bytes], size: int, **how) -> bytes:
+    """A zstandard dictionary of at most about `size` bytes trained on windows; the last windows themselves where there are too few to train on."""
+    try:
+        return zstandard.train_dictionary(size, samples[:: max(1, len(samples) // TRAIN_WINDOWS)], **how).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(samples)[-size:]
 
 
 @dataclass(frozen=True)
@@ -143,12 +108,8 @@ def fit(rows: list[tuple[str, int]]) -> Model:
         return Model(b"", b"", (float(np.log(share / (1 - share))), 0.0, 0.0, 0.0, 0.0))
     learn, rest = [r for i, r in enumerate(rows) if i % 3], rows[::3]
     toxic, ordinary = [t for t, y in learn if y], [t for t, y in learn if not y]
-    samples = [w for t in ordinary for w in windows(t)]
-    try:
-        base = zstandard.train_dictionary(ORDINARY_BYTES, samples[:: max(1, len(samples) // 40_000)]).as_bytes()
-    except zstandard.ZstdError:  # too little text to train on
-        base = b"".join(samples)[-ORDINARY_BYTES:]
-    m = Model(base, toxic_strings(toxic, ordinary), (0.0,) * 5)
+    base = trained([w for t in ordinary for w in windows(t)], ORDINARY_BYTES)
+    m = Model(base, trained([w for t in toxic for w in windows(t)], TOXIC_BYTES, k=SEGMENT, d=MATCH), (0.0,) * 5)
     x = np.array([features(m, t) for t, _ in rest], float)
     return Model(m.ordinary, m.toxic, _logistic(x, np.array([y for _, y in rest], float)))
 

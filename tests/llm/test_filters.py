@@ -104,6 +104,12 @@ def test_toxic_texts_are_told_apart():
     assert m.score([None, "", " \n", "x" * 50_000]).max() < 0.5
 
 
+def test_both_dictionaries_are_trained():
+    m = toxicity.fit(corpus(600, 1))
+    assert [d[:4] for d in (m.ordinary, m.toxic)] == [b"\x37\xa4\x30\xec"] * 2
+    assert len(m.toxic) <= toxicity.TOXIC_BYTES
+
+
 def test_one_class_and_no_labels():
     assert toxicity.fit([("a b", 0)] * 5).score(["c"])[0] < 0.01 and toxicity.fit([("a b", 1)] * 5).score([None])[0] > 0.99
     assert toxicity.fit([]).score(["x"])[0] < 0.01
