@@ -2,7 +2,7 @@
 
 The sketch is a log-bucketed histogram with a relative error of about 1 % (gamma 1.02): a count for
 each bucket, merged by adding counts, so it is the same in whatever order tasks finish. A cut-off is
-a fence around the group's quartiles; groups with too few documents use their language's, then the
+a fence around two of the group's quantiles, as far out as they are apart; groups with too few documents use their language's, then the
 whole corpus's sketch, which are sums of the groups' own.
 """
 
@@ -24,12 +24,13 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 #: Documents that a group needs for fences of its own.
 MIN_GROUP = 200
-#: Interquartile ranges beyond a quartile at which a value is an outlier.
+#: Distances of a metric's two quantiles beyond one of them at which a value is an outlier.
 REACH = 3.0
 #: Ratio of neighbouring bucket bounds in the sketch, and its resolution at zero.
 GAMMA, RESOLUTION = 1.02, 1e-4
-#: Adaptive metrics: name, least interquartile range (keeps uniform groups from rejecting ties), fences below and above.
-METRICS = (("word_length", 1.5, True, True), ("symbol_rate", 0.25, False, True), ("dup_line_rate", 0.2, False, True))
+#: Adaptive metrics: name, least distance of the quantiles (only so that uniform groups don't reject ties), fences below and above, the two
+#: quantiles. Repeated lines are usual in a few documents of any group, so that quartiles would say nothing about them.
+METRICS = (("word_length", 0.05, True, True, (0.25, 0.75)), ("symbol_rate", 0.02, False, True, (0.25, 0.75)), ("dup_line_rate", 0.02, False, True, (0.01, 0.99)))
 
 _COUNTS = pa.struct([(n, pa.int64()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words")])
 _DDL = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_lines long, n_repeat_words long"
@@ -116,13 +117,14 @@ def thresholds(df: DataFrame, lang: Column, source: Column, m: Column, min_group
     cells = cells.withColumn("no_lang", F.lit(False)).withColumn("no_source", F.lit(False))
     add = lambda d, keys: d.groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n"))
     by_lang = add(cells, ["lang"])
-    q = [0.25, 0.75]
+    q = sorted({p for x in METRICS for p in x[4]})
     own, of_lang, of_all = quantiles(cells, ["lang", "source"], q), quantiles(by_lang, ["lang"], q), quantiles(add(by_lang, []), [], q)
     at = own.alias("a").join(of_lang.alias("b"), F.col("a.lang").eqNullSafe(F.col("b.lang")) & (F.col("a.metric") == F.col("b.metric"))).join(F.broadcast(of_all.alias("c")), F.col("a.metric") == F.col("c.metric"))
     pick = lambda c: F.when(F.col("a.n") >= min_group, F.col(f"a.{c}")).when(F.col("b.n") >= min_group, F.col(f"b.{c}")).otherwise(F.col(f"c.{c}"))
     least = F.array(*[F.lit(x[1]) for x in METRICS])[F.col("a.metric")]
-    spread = F.greatest(pick("q1") - pick("q0"), least) * reach
-    at = at.select("a.lang", "a.source", F.col("a.metric"), (pick("q0") - spread).alias("lo"), (pick("q1") + spread).alias("hi"))
+    low, high = (F.array(*[pick(f"q{q.index(x[4][i])}") for x in METRICS])[F.col("a.metric")] for i in (0, 1))
+    spread = F.greatest(high - low, least) * reach
+    at = at.select("a.lang", "a.source", F.col("a.metric"), (low - spread).alias("lo"), (high + spread).alias("hi"))
     order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("metric", c))), lambda x: x[c]).alias(c)
     return at.groupBy("lang", "source").agg(order("lo"), order("hi"))
 

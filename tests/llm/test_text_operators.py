@@ -85,6 +85,19 @@ def test_quality_rejects_outliers_only(spark):
     assert {r.doc_id for r in kept.collect()} == set(range(300))
 
 
+def test_quality_fences_follow_the_spread_of_the_group(spark):
+    """The same odd documents are outliers in a narrow group and usual in a wide one; a few repeated lines are not an outlier where some have them."""
+    rest = ["x"] * 4
+    words = lambda i, size, n=0: " ".join(("abcdefghijklmnop" * 2)[(i + 3 * j) % 16 :][:size] + " #" * (j < n) for j in range(20))
+    odd = [(1000 + i, words(i, 7), 20) for i in range(3)] + [(1100 + i, words(i, 5, 8), 20) for i in range(3)]
+    narrow = [(i, words(i, 5), "en", "narrow", 1, *rest) for i in range(400)]
+    wide = [(i + 5000, words(i, 4 + i % 4, i % 12), "en", "wide", 1, *rest) for i in range(400)]
+    lines = [(3000 + i, f"{words(i, 5)}\n" + "\n".join(f"{x * 5} lines" for x in "abcdefgh") + "\naaaaa lines", "en", "narrow", 1, *rest) for i in range(12)]
+    df = spark.createDataFrame(narrow + wide + lines + [(i + b, t, "en", s, 1, *rest) for s, b in (("narrow", 0), ("wide", 5000)) for i, t, _ in odd], SCHEMA)
+    kept = {r.doc_id for r in quality.keep_good(df).collect()}
+    assert kept == {r[0] for r in narrow + wide + lines} | {5000 + i for i, _, _ in odd}
+
+
 def test_quality_edge_cases(docs, empty):
     out, name = quality.judged(docs)
     got = {r.doc_id: r[name] for r in out.collect()}
