@@ -85,10 +85,12 @@ def overlaps(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: st
     return hits.where(F.col("same") >= F.ceil(F.col("of") * AGREE)).groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_hits"), F.max("same").cast("long").alias("most_equal"))
 
 
-def without_overlaps(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without those that overlap with an item."""
-    gone = settle(overlaps(docs, bench, doc_id, text).select(F.col("doc_id").alias("__gone")).distinct())
-    return docs.join(small_or_shuffled(gone), docs[doc_id] == gone["__gone"], "left_anti")
+def without_overlaps(docs: DataFrame, bench: DataFrame, text: str = "text") -> DataFrame:
+    """docs without those that overlap with an item. Each row is judged by its text (64 bits of hash stand for it), whether or not its id is null or repeated."""
+    key = F.xxhash64(F.col(text).cast("string"))
+    found = overlaps(docs.where(F.col(text).isNotNull()).select(key.alias("doc_id"), text), bench, "doc_id", text)
+    gone = settle(found.select(F.col("doc_id").alias("__gone")).distinct())
+    return docs.join(small_or_shuffled(gone), key == gone["__gone"], "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

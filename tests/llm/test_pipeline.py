@@ -46,6 +46,15 @@ def test_every_stage(spark, tmp_path):
     assert seen == sorted(seen, reverse=True)
 
 
+def test_decontamination_judges_each_row_by_its_text(spark):
+    item, clean = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40))
+    given = [(None, item), (None, clean), (1, item), (1, clean), (2, None)]
+    docs = spark.createDataFrame(given, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = [(r.doc_id, r.text) for r in decontaminate.without_overlaps(docs, bench).collect()]
+    assert sorted(got, key=repr) == sorted([(None, clean), (1, clean), (2, None)], key=repr)
+
+
 def test_registered_queries():
     assert {n.split("_")[0] for n in registry.QUERIES} == {*(f"op{i}" for i in range(1, 11)), "pipeline"}
     assert set(registry.ORACLES) <= set(registry.QUERIES)
