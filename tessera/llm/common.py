@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import ctypes.util
-import tempfile
 from collections.abc import Callable
 from typing import Iterator, Tuple
 
@@ -15,24 +14,20 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.names import fresh
+from tessera.storage import checkpoint_dir, cut
+
+__all__ = ["checkpoint_dir", "fresh"]
+
 #: Rows up to which a side of a join may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
+#: Share of a table's rows from which a key is joined apart from others.
+SHARE = 1 / 2000
 #: Characters that separate words: space, tab, line feed, vertical tab, form feed, return.
 SPACES = " \t\n\x0b\x0c\r"
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder shared by driver and executors; a temporary one only where none is configured."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="ckpt-"))
-    return sc.getCheckpointDir()
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Materialise in the shared folder, so that later reads neither recompute it nor depend on executors."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+settle = cut
 
 
 def small_or_shuffled(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -41,10 +36,26 @@ def small_or_shuffled(df: DataFrame, rows: int | None = None, limit: int = BROAD
     return F.broadcast(df) if n <= limit else df.hint("merge")
 
 
+def beside(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Inner join of left (settled) to right, which has one row a key, on a key of which some values may have much of left.
+
+    Values with a share of SHARE or more, at most 1 / SHARE of them, are joined by a broadcast of right's
+    rows for them; the others by a shuffle, in which none of them is then large.
+    """
+    n = left.count()
+    much = left.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= max(n * SHARE, 2)).select(key)
+    much = settle(much)
+    hot = left.join(F.broadcast(much), key, "left_semi").join(F.broadcast(right.join(F.broadcast(much), key, "left_semi")), key)
+    return hot.unionByName(left.join(F.broadcast(much), key, "left_anti").join(right, key))
+
+
 def batches(spark: SparkSession, records: int = 1000, size: int = 4 << 20) -> None:
-    """Bound what one Arrow batch of texts holds."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(records))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+    """Bound what one Arrow batch of texts holds: lowers two options of the session where they are higher, as a plan reads them when it runs."""
+    for name, most in (("maxRecordsPerBatch", records), ("maxBytesPerBatch", size)):
+        option = f"spark.sql.execution.arrow.{name}"
+        now = int(str(spark.conf.get(option)).removesuffix("b"))
+        if not 0 < now <= most:
+            spark.conf.set(option, str(most))
 
 
 _LIBC = ctypes.CDLL(ctypes.util.find_library("c") or None)
@@ -108,14 +119,6 @@ def batch_udf(f: Callable, kind: str, *columns: Column | str, after: Callable[[]
     return F.arrow_udf(one if len(columns) == 1 else more, kind)(*columns)
 
 
-def fresh(df: DataFrame, stem: str) -> str:
-    """A column name that df doesn't have."""
-    name, have = f"__{stem}", {c.lower() for c in df.columns}
-    while name.lower() in have:
-        name += "_"
-    return name
-
-
 def words(text: str | None) -> list[bytes]:
     """Maximal runs of characters other than SPACES (bytes.split() separates at exactly these)."""
     return text.encode("utf-8", "surrogatepass").split() if text else []

@@ -7,23 +7,22 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import beside, settle
 
 #: Edges to a task: a small graph is not spread over many tasks and files, a large one over as many as it needs.
 TOGETHER = 50_000
 
 
 def _large_star(e: DataFrame, tasks: int) -> DataFrame:
-    both = e.coalesce(tasks)
-    both = both.union(both.select("v", "u"))
+    both = e.union(e.select("v", "u"))
     low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(tasks)
+    return beside(both, low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(tasks)
 
 
 def _small_star(e: DataFrame, tasks: int) -> DataFrame:
-    low = e.groupBy("u").agg(F.min("v").alias("m"))
-    moved = e.join(low, "u").where(F.col("v") > F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(low.select("u", F.col("m").alias("v"))).coalesce(tasks).distinct().coalesce(tasks)
+    low = settle(e.groupBy("u").agg(F.min("v").alias("m")).coalesce(tasks))
+    moved = beside(e, low, "u").where(F.col("v") > F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.union(low.select("u", F.col("m").alias("v"))).distinct().coalesce(tasks)
 
 
 def _print(e: DataFrame) -> tuple:
@@ -33,14 +32,15 @@ def _print(e: DataFrame) -> tuple:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for the nodes of edges (u, v); component is its smallest node.
 
-    Minima are aggregates joined back to the edges, so no node's neighbours are gathered in one place.
+    Minima are partial aggregates joined back to the edges; nodes with a large share of the edges are
+    joined by a broadcast of their minima, so no node's neighbours are gathered in one place.
     Loops and repeated edges don't matter, edges with a null are ignored, no edges give no rows.
     """
     e = settle(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     was = _print(e)
     while was[0]:
         tasks = 2 * math.ceil(was[0] / TOGETHER)
-        e = settle(_small_star(_large_star(e, tasks), tasks))
+        e = settle(_small_star(settle(_large_star(e, tasks)), tasks))
         now = _print(e)
         if now == was:
             break

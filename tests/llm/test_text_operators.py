@@ -177,6 +177,42 @@ def test_chain_of_copies_whose_first_is_no_center(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == want
 
 
+def test_an_id_with_two_texts_links_both(spark):
+    a, b = [f"a{i}" for i in range(200)], [f"b{i}" for i in range(200)]
+    given = [(1, " ".join(a)), (5, " ".join(b)), (5, " ".join([*a[:-1], "tail"])), (9, " ".join([*b[:-1], "end"])), (None, " ".join([*a[1:], "x"]))]
+    got = neardup.near_duplicates(spark.createDataFrame(given, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got if r.doc_id) == [(1, 1, True), (5, 1, False), (5, 5, True), (9, 5, False)]
+
+
+def test_one_of_each_judges_rows_by_their_text(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    given = [(None, a), (None, a), (7, b), (7, b), (7, a), (8, b + " end"), (None, None), (None, None), (3, "")]
+    df = spark.createDataFrame([(i, t, "x", "y") for i, t in given], "doc_id long, text string, component string, node string")
+    got = sorted((tuple(r)[:2] for r in neardup.one_of_each(df).collect()), key=repr)
+    assert got == sorted([(7, a), (7, b), (None, None), (None, None), (3, "")], key=repr)
+    only = spark.createDataFrame([(None, a), (None, a + " z"), (None, b)], "doc_id long, text string")
+    assert neardup.one_of_each(only).count() == 2
+
+
+@pytest.mark.parametrize("block", [neardup.BLOCK, 4])
+def test_classes_that_buckets_connect_but_no_link_does(spark, monkeypatch, block):
+    """Variants of one text that are similar in a chain or too little, in sets larger and smaller than a block."""
+    import random
+
+    rng, given = random.Random(8), []
+    for g in range(3):
+        base = [f"g{g}_{i}" for i in range(160)]
+        for i in range(24):
+            w = list(base)
+            for j in rng.sample(range(160), rng.choice([1, 3, 5, 8])):
+                w[j] = f"z{rng.randrange(10**6)}"
+            given.append((rng.randrange(1000), " ".join(w)))
+    given = list({i: (i, t) for i, t in given}.values())
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    got = neardup.near_duplicates(spark.createDataFrame(given, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == jaccard_components(given, 5, 80)
+
+
 def test_near_duplicates_of_nothing(empty):
     assert neardup.near_duplicates(empty).count() == 0 and neardup.one_of_each(empty).columns == empty.columns
 
