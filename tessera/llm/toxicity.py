@@ -2,15 +2,18 @@
 ordinary text and with one of toxic text, and what the second saves is the evidence.
 
 Both dictionaries are trained by zstandard, one on windows of ordinary documents and one, of short
-segments, on windows of toxic documents. The toxic one is followed by the ordinary one, so that common
-language costs the same with either and only toxic text makes a difference. How much has to be saved
-is calibrated on labelled documents that the dictionaries have not seen.
+segments, on whole toxic documents. There a document is one sample, so a string counts by the documents
+that hold it, and what toxic documents share outweighs what is frequent in all. The toxic dictionary is
+followed by the ordinary one, so that common language costs the same with either and only toxic text
+makes a difference. How much has to be saved is calibrated on labelled documents that the dictionaries
+have not seen, at the rate of toxic documents among all labelled ones.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, batch_udf, batches
+from .common import ascii_lower, batch_udf, batches, settle
 
 #: Bound of the labelled sample that the model is fitted on: documents of each class (those with the
 #: least hashes of their ids) and characters of each.
@@ -27,10 +30,9 @@ SAMPLE_CHARS = 16_384
 #: Bytes of a window (it ends with the word that reaches them), of the ordinary and of the toxic dictionary.
 WINDOW, ORDINARY_BYTES, TOXIC_BYTES = 64, 65_536, 2048
 #: Of the toxic dictionary's training: bytes of a segment and of the strings counted in it (short, as few words of a toxic text are toxic).
-SEGMENT, MATCH = 20, 6
-#: Windows that a dictionary is trained on, spread evenly over the sample's.
-TRAIN_WINDOWS = 40_000
-LEVEL = 6
+SEGMENT, MATCH = 16, 6
+#: Level of compression, and bytes of the shortest match.
+LEVEL, SHORTEST = 6, 4
 
 
 def windows(text: str | None) -> list[bytes]:
@@ -50,9 +52,9 @@ def windows(text: str | None) -> list[bytes]:
 
 
 def trained(samples: list[bytes], size: int, **how) -> bytes:
-    """A zstandard dictionary of at most about `size` bytes trained on windows; the last windows themselves where there are too few to train on."""
+    """A zstandard dictionary of at most about `size` bytes; the last samples themselves where there are too few to train on."""
     try:
-        return zstandard.train_dictionary(size, samples[:: max(1, len(samples) // TRAIN_WINDOWS)], **how).as_bytes()
+        return zstandard.train_dictionary(size, samples, **how).as_bytes()
     except zstandard.ZstdError:
         return b"".join(samples)[-size:]
 
@@ -72,7 +74,7 @@ class Model:
 
 @lru_cache(maxsize=8)
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
-    p = zstandard.ZstdCompressionParameters.from_level(LEVEL, write_content_size=0, write_checksum=0, write_dict_id=0)
+    p = zstandard.ZstdCompressionParameters.from_level(LEVEL, min_match=SHORTEST, write_content_size=0, write_checksum=0, write_dict_id=0)
     return zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=p)
 
 
@@ -101,32 +103,55 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01) -> tuple[float,
     return tuple(map(float, w))
 
 
-def fit(rows: list[tuple[str, int]]) -> Model:
-    """A model of (text, toxic) rows: dictionaries from two thirds of them, calibration on the others. With one class only, the score is its share everywhere."""
+def own_lines(texts: list[str], others: list[str]) -> list[bytes]:
+    """Each text's lines that neither others nor an earlier text has, as one sample: so that neither boilerplate nor copies look common."""
+    split = lambda t: [b" " + b" ".join(x.split()) + b" " for x in ascii_lower(t).split(b"\n")]
+    seen = {x for t in others for x in split(t)}
+    out = []
+    for t in texts:
+        lines = [x for x in split(t) if x not in seen]
+        seen.update(lines)
+        out.append(b"".join(lines))
+    return [x for x in out if x.strip()]
+
+
+def fit(rows: list[tuple[str, int]], odds: float | None = None) -> Model:
+    """A model of (text, toxic) rows: dictionaries from two thirds of them, calibration on the others. odds: toxic to ordinary documents where rows are not in proportion. With one class only, the score is its share everywhere."""
     if len({y for _, y in rows}) < 2:
         share = np.clip(np.mean([y for _, y in rows]) if rows else 0.0, 1e-3, 1 - 1e-3)
         return Model(b"", b"", (float(np.log(share / (1 - share))), 0.0, 0.0, 0.0, 0.0))
     learn, rest = [r for i, r in enumerate(rows) if i % 3], rows[::3]
-    toxic, ordinary = [t for t, y in learn if y], [t for t, y in learn if not y]
-    base = trained([w for t in ordinary for w in windows(t)], ORDINARY_BYTES)
-    m = Model(base, trained([w for t in toxic for w in windows(t)], TOXIC_BYTES, k=SEGMENT, d=MATCH), (0.0,) * 5)
-    x = np.array([features(m, t) for t, _ in rest], float)
-    return Model(m.ordinary, m.toxic, _logistic(x, np.array([y for _, y in rest], float)))
-
-
-def sample(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> list[tuple[str, int]]:
-    """The bounded sample of labelled rows, in an order that mixes classes; conflicting or null labels don't count."""
+    whole = own_lines([t for t, y in learn if y], [t for t, y in learn if not y])
+    base = trained([w for t, y in learn if not y for w in windows(t)], ORDINARY_BYTES)
+    m = Model(base, trained(whole, TOXIC_BYTES, k=SEGMENT, d=MATCH), (0.0,) * 5)
+    x, y = np.array([features(m, t) for t, _ in rest], float), np.array([y for _, y in rest], float)
+    first, *more = _logistic(x, y)
+    if odds and 0 < y.sum() < len(y):
+        first += math.log(odds) - math.log(y.sum() / (len(y) - y.sum()))
+    return Model(m.ordinary, m.toxic, (first, *more))
+
+
+def sample(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> tuple[list[tuple[str, int]], float | None]:
+    """The bounded sample of labelled rows, in an order that mixes classes, and the odds of toxic among all labels; conflicting or null labels don't count."""
     known = labels.where(F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.min(label).alias("y"), F.max(label).alias("y2")).where("y = y2 and y in (0, 1)")
+    ones, n = known.agg(F.sum("y"), F.count(F.lit(1))).first()
     few = docs.select(doc_id, F.col(text).cast("string").alias("t")).where(F.char_length("t") <= SAMPLE_CHARS)
     # ids are sampled first and generously, as some have no or too long a text
-    picked = [known.where(F.col("y") == y).orderBy(F.xxhash64(doc_id), doc_id).limit(2 * n) for y, n in SAMPLE.items()]
-    rows = few.join(F.broadcast(picked[0].union(picked[1])), doc_id).select("y", "t", F.xxhash64(doc_id).alias("h"))
-    got = [rows.where(F.col("y") == y).orderBy("h", "t").limit(n).collect() for y, n in SAMPLE.items()]
-    return [(r.t, int(r.y)) for r in sorted((r for part in got for r in part), key=lambda r: (r.h, r.t))]
+    picked = settle(reduce(DataFrame.union, [known.where(F.col("y") == y).orderBy(F.xxhash64(doc_id), doc_id).limit(2 * n) for y, n in SAMPLE.items()]).select(doc_id, "y"))
+    found = settle(few.join(F.broadcast(picked), doc_id).select("y", "t", F.xxhash64(doc_id).alias("h")))
+    got = [found.where(F.col("y") == y).orderBy("h", "t").limit(n).collect() for y, n in SAMPLE.items()]
+    rows = [(r.t, int(r.y)) for r in sorted((r for part in got for r in part), key=lambda r: (r.h, r.t))]
+    return rows, ones / (n - ones) if ones and n > ones else None
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
-    """docs with the probability that each whole text is toxic. Null and empty texts get the score of no evidence; other columns pass through."""
+    """docs with the probability, in a new column `name`, that each whole text is toxic, however long it is.
+
+    Null and empty texts get the score of no evidence; rows, repeated or not, are scored by their text
+    alone; a table without rows gives none; other columns pass through. A column of that name is an error.
+    """
+    if name.lower() in (c.lower() for c in docs.columns):
+        raise ValueError(f"docs has a column {name}")
     batches(docs.sparkSession)
 
     def run(texts: pa.Array) -> pa.Array:
@@ -137,7 +162,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text", name: str = "score
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held)
-    out = scored(docs, fit(sample(docs, labels)))
+    out = scored(docs, fit(*sample(docs, labels)))
     return out.select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))

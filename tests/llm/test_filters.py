@@ -110,6 +110,34 @@ def test_both_dictionaries_are_trained():
     assert len(m.toxic) <= toxicity.TOXIC_BYTES
 
 
+def test_boilerplate_and_copies_are_no_evidence():
+    """A line in toxic and ordinary documents, and many copies of one toxic document, don't make a text toxic."""
+    line = "all rights reserved by the makers of this page and its owners"
+    rows = [(f"{line}\n{t}" if i % 2 else t, y) for i, (t, y) in enumerate(corpus(600, 1))]
+    copied = next(t for t, y in rows if y)
+    m = toxicity.fit(rows + [(copied, 1)] * 60)
+    held = corpus(200, 2)
+    assert m.score([f"{line}\n{t}" for t, y in held if not y]).max() < 0.5
+    assert (m.score([t for t, y in held if y]) >= 0.5).mean() > 0.95
+    assert toxicity.own_lines(["a\nb", "b\nc", "a"], ["c"]) == [b" a  b "]
+
+
+def test_columns_pass_and_names_may_not_clash(spark):
+    m = toxicity.fit(corpus(100, 1))
+    df = spark.createDataFrame([(None, "vilescum " * 40_000, 1), (None, None, 2)], "doc_id long, text string, windows int")
+    got = toxicity.scored(df, m, name="p").collect()
+    assert [r.windows for r in got] == [1, 2] and got[0].p > got[1].p
+    with pytest.raises(ValueError):
+        toxicity.scored(df, m, name="Text")
+
+
+def test_held_out_accuracy_on_labels(spark):
+    """Some labels are wrong, so neither is near 1; both are far over the share of toxic documents."""
+    out = toxicity.query(spark, "/root/testdata/sf0.1").where("held_out").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").where("toxic is not null").select("toxic", "predicted").collect()
+    caught = [r.predicted for r in out if r.toxic]
+    assert np.mean(caught) > 0.4 and np.mean([r.toxic for r in out if r.predicted]) > 0.75
+
+
 def test_one_class_and_no_labels():
     assert toxicity.fit([("a b", 0)] * 5).score(["c"])[0] < 0.01 and toxicity.fit([("a b", 1)] * 5).score([None])[0] > 0.99
     assert toxicity.fit([]).score(["x"])[0] < 0.01
@@ -127,7 +155,7 @@ def test_labels_are_read_from_learning_rows_only(spark, tmp_path):
     spark.createDataFrame([(i, t, "en", "s", len(t)) for i, (t, _) in enumerate(rows)] + [(5000, None, None, None, None), (None, "", None, None, None)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(i, 1, y) for i, (_, y) in enumerate(rows)] + [(7, 0, None), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     first = {r.doc_id: r for r in toxicity.query(spark, str(tmp_path)).collect()}
-    assert len(first) == 302 and first[5000].predicted == 0
+    assert len(first) == 302 and first[5000].predicted == 0 and first[None].held_out is False
     con = duckdb.connect()
     held = [i for i in range(300) if first[i].held_out]
     flipped = spark.read.parquet(str(tmp_path / "labels.parquet")).withColumn("toxic", F.when(F.col("doc_id").isin(held), 1 - F.col("toxic")).otherwise(F.col("toxic")))
