@@ -6,34 +6,39 @@ window have a hit inside. Hits are then extended: the 20-word windows around the
 full (by 96 bits of hash), and overlapping repeated windows merge into maximal repeats, of which every
 occurrence but the earliest goes.
 
-Both comparisons are exchanges of packed arrays: a batch of documents sends each part of the hash range
-one row with the hashes (sorted by place) of its windows, and gets back the places that matched. Parts
-hold about as many windows at any size of input, and a row of a part never depends on how often a
-window occurs.
+Both comparisons are exchanges of packed arrays. Documents travel in flushes: a flush sends each part of
+the hash range one row with the windows that belong there, and gets back the places that matched. A
+window that a flush has several times is sent once, for the first of its places, and the flush keeps
+the others, so no part grows with the frequency of a passage. Parts hold about as many windows at any
+size of input. What a row holds shrinks when both flushes and parts are many, so FLUSH_BYTES and
+PART_CHARS, which bound a task's memory, are worth raising for inputs of several TB.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+import pickle
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_udf, batches, flat_words, mix, settle, tidied, tidied_group, window_hash, word_hashes, words
+from .common import batch_udf, batches, flat_words, fresh, mix, settle, tidied, tidied_group, window_hash, word_hashes, words
 
 #: Words of a window that may not repeat, and of a block; 2 * BLOCK - 1 <= WINDOW + 1 words.
 WINDOW, BLOCK = 20, 10
-#: Characters of text to each part of the hash range.
-PART_CHARS = 4_000_000
+#: Bytes of text in a flush, and characters of text to each part of the hash range.
+FLUSH_BYTES, PART_CHARS = 8_000_000, 12_000_000
 #: Bytes up to which the places found are broadcast to the documents.
-BROADCAST_BYTES = 64 << 20
+BROADCAST_BYTES = 4 << 20
 _SECOND = np.uint64(0xD6E8FEB86659FD93)
-_SENT = "chunk long, part int, low binary, high binary, place binary, flag binary, head binary"
+_NOTHING = np.empty(0, np.int64)
+_SENT = "chunk long, part long, asks binary, head binary"
 _GOT = "chunk long, head binary, place binary"
 
 
@@ -63,15 +68,17 @@ def _spans(at: np.ndarray, width: int) -> np.ndarray:
     return np.column_stack([at[np.concatenate([[0], cut + 1])], at[np.append(cut, len(at) - 1)] + width])
 
 
-def _split(chunk: int, h: np.ndarray, low: np.ndarray, high: np.ndarray | None, place: np.ndarray, flag: np.ndarray | None, parts: int, head: bytes | None):
-    """One row for each part that has windows: h chooses the part, low and high identify the window there."""
-    part = ((h >> np.uint64(40)) * np.uint64(parts) >> np.uint64(24)).astype(np.int64)
-    order = np.argsort(part.astype(np.uint16) if parts < 65536 else part, kind="stable")
+def _parts(h: np.ndarray, parts: int):
+    """(part, rows) for each part that has windows, rows in their order."""
+    part = ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
     bounds = np.searchsorted(part[order], np.arange(parts + 1))
-    for p in range(parts):
-        at = order[bounds[p] : bounds[p + 1]]
-        if len(at):
-            yield chunk, p, low[at].tobytes(), None if high is None else high[at].tobytes(), _places(place[at].astype(np.uint32)), None if flag is None else np.packbits(flag[at]).tobytes(), head
+    for p in np.flatnonzero(np.diff(bounds)):
+        yield int(p), order[bounds[p] : bounds[p + 1]]
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["chunk", "part", "asks", "head"])
 
 
 def _short(h: np.ndarray) -> np.ndarray:
@@ -79,15 +86,42 @@ def _short(h: np.ndarray) -> np.ndarray:
     return h.astype(np.uint32)
 
 
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 5]
-    names = [x.split()[0] for x in _SENT.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
+def _numbers(x: np.ndarray) -> bytes:
+    """uint32 as byte planes."""
+    return _pack(x.astype(np.uint32).view(np.uint8).reshape(-1, 4).T)
+
+
+def _numbers_back(b: bytes) -> np.ndarray:
+    raw = _unpack(b, np.uint8)
+    return np.ascontiguousarray(raw.reshape(4, -1).T).view(np.uint32).ravel() if len(raw) else np.empty(0, np.uint32)
+
+
+def _flushes(it):
+    """Batches (id, text, ...) put together: a number, ids, word hashes in a row, starts, k1, k2, and the further columns' values."""
+    first, n, some, size = TaskContext.get().partitionId() << 32, 0, [], 0
+
+    def together():
+        lengths = [len(x[1]) for x in some]
+        at = np.concatenate([[0], np.cumsum(lengths)])
+        starts = np.concatenate([*[x[2][:-1] + a for x, a in zip(some, at, strict=False)], at[-1:]])
+        return first + n, *[np.concatenate([x[i] for x in some]) for i in (0, 1)], starts, *[np.concatenate([x[i] for x in some]) for i in (3, 4)], [v for x in some for v in x[5]]
+
+    for b in it:
+        if b.num_rows:
+            h, starts, k1, k2 = _sequences(b.column(1))
+            more = b.column(2).to_pylist() if b.num_columns > 2 else []
+            some.append((b.column(0).to_numpy(zero_copy_only=False).astype(np.int64), h, starts, k1, k2, more))
+            size += b.column(1).nbytes
+        if size >= FLUSH_BYTES:
+            yield together()
+            n, some, size = n + 1, [], 0
+    if some:
+        yield together()
 
 
-def _name_of(ids: np.ndarray, k1: np.ndarray) -> int:
-    """A name of a batch of documents by what it holds."""
-    return int.from_bytes(hashlib.blake2b(ids.tobytes() + k1.tobytes(), digest_size=8).digest(), "little", signed=True)
+def _head(ids: np.ndarray, k1: np.ndarray, k2: np.ndarray, starts: np.ndarray, known: np.ndarray, rep: np.ndarray, also: np.ndarray) -> bytes:
+    """What a flush keeps: its documents, places known to match, and for places asked for those of equal windows."""
+    return pickle.dumps((_pack(np.concatenate([ids.view(np.uint64), k1, k2, starts.astype(np.uint64)])), _places(known.astype(np.uint32)), _numbers(rep), _numbers(also)))
 
 
 def _sequences(texts: pa.Array):
@@ -107,56 +141,66 @@ def _whole(starts: np.ndarray, k: int) -> np.ndarray:
 
 
 def _probe(parts: int):
+    """Every 10-word window, once a flush; those that the flush knows to match, and to be a reference block, are told and not asked."""
+
     def run(it):
-        for b in it:
-            ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            h, starts, k1, k2 = _sequences(b.column(1))
-            chunk = _name_of(ids, k1)
-            rows = [(chunk, -1 - chunk % 1024, None, None, None, None, _pack(np.concatenate([ids.view(np.uint64), k1, k2, starts.astype(np.uint64)])))]
+        for chunk, ids, h, starts, k1, k2, _ in _flushes(it):
             n = np.diff(starts)
             at = _whole(np.concatenate([[0], np.cumsum(np.where(n >= WINDOW, n, 0))]), BLOCK)
-            if len(at):
-                long = np.repeat(n >= WINDOW, n)
-                real = np.flatnonzero(long)
-                at = real[at]  # windows of documents that are long enough
-                w = window_hash(h, BLOCK)[at]
-                turn = at - np.repeat(starts[:-1], n)[at]
-                rows += _split(chunk, w, _short(w), None, at, turn % BLOCK == 0, parts, None)
-            yield _rows(rows)
+            real = np.flatnonzero(np.repeat(n >= WINDOW, n))
+            at = real[at]  # windows of documents that are long enough
+            w = window_hash(h, BLOCK)[at] if len(at) else np.empty(0, np.uint64)
+            flag = (at - np.repeat(starts[:-1], n)[at]) % BLOCK == 0
+            order = np.argsort(w, kind="stable")
+            new = np.ones(len(w), bool)
+            new[1:] = w[order][1:] != w[order][:-1]
+            first = np.flatnonzero(new)
+            count = np.diff(np.append(first, len(w)))
+            any_flag = np.bitwise_or.reduceat(flag[order], first) if len(first) else np.empty(0, bool)
+            known = np.repeat((count > 1) & any_flag, count)
+            later = ~new & ~known
+            rep = order[np.repeat(first, count)]
+            yield _rows([(chunk, -1 - chunk, None, _head(ids, k1, k2, starts, np.sort(at[order[known]]), at[rep[later]], at[order[later]]))])
+            told, some = w[order[first[(count > 1) & any_flag]]], np.sort(order[first[(count == 1) | ~any_flag]])
+            asks, tells = dict(_parts(w[some], parts)), dict(_parts(told, parts))
+            for p in sorted(asks.keys() | tells.keys()):
+                x, t = some[asks.get(p, _NOTHING)], told[tells.get(p, _NOTHING)]
+                yield _rows([(chunk, p, pickle.dumps((_short(w[x]).tobytes(), _places(at[x].astype(np.uint32)), np.packbits(flag[x]).tobytes(), _short(t).tobytes())), None)])
 
     return run
 
 
 def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Places whose block hash occurs at least twice in the part, once or more as a reference block."""
-    out = [(r.chunk, r.head, None) for r in pdf[pdf.part < 0].itertuples()]
-    pdf = pdf[pdf.part >= 0]
-    if len(pdf):
-        code = np.frombuffer(b"".join(pdf.low), np.uint32)
-        sizes = np.array([len(x) // 4 for x in pdf.low])
-        flag = np.concatenate([np.unpackbits(np.frombuffer(f, np.uint8), count=n) for f, n in zip(pdf.flag, sizes, strict=True)]).astype(bool)
-        ref = np.sort(code[flag])
-        # a reference block answers others if it occurs twice in all, itself included
-        every = np.sort(code)
-        at = np.searchsorted(ref, code)
-        hit = (at < len(ref)) & (ref[np.minimum(at, len(ref) - 1)] == code) if len(ref) else np.zeros(len(code), bool)
-        some = np.flatnonzero(hit)
-        hit[some] = np.searchsorted(every, code[some], "right") - np.searchsorted(every, code[some]) > 1
-        for chunk, place, h in zip(pdf.chunk, pdf.place, np.split(hit, np.cumsum(sizes)[:-1]), strict=True):
-            if h.any():
-                out.append((chunk, None, _places(_places_back(place)[h].astype(np.uint32))))
+    """Places whose block hash occurs at least twice in the part, once or more as a reference block. Equal windows of a flush are one."""
+    if pdf.part.iloc[0] < 0:
+        return pd.DataFrame({"chunk": pdf.chunk, "head": pdf["head"], "place": None})
+    got, out = [pickle.loads(a) for a in pdf.asks], []
+    code, told = np.frombuffer(b"".join(x[0] for x in got), np.uint32), np.frombuffer(b"".join(x[3] for x in got), np.uint32)
+    sizes = np.array([len(x[0]) // 4 for x in got])
+    flag = np.concatenate([np.unpackbits(np.frombuffer(x[2], np.uint8), count=n) for x, n in zip(got, sizes, strict=True)]).astype(bool)
+    ref = np.sort(np.concatenate([code[flag], told]))
+    # a reference block answers others if it occurs twice in all, itself included
+    every = np.sort(np.concatenate([code, told]))
+    at = np.searchsorted(ref, code)
+    hit = (at < len(ref)) & (ref[np.minimum(at, len(ref) - 1)] == code) if len(ref) else np.zeros(len(code), bool)
+    some = np.flatnonzero(hit)
+    hit[some] = np.searchsorted(every, code[some], "right") - np.searchsorted(every, code[some]) > 1
+    for chunk, x, h in zip(pdf.chunk, got, np.split(hit, np.cumsum(sizes)[:-1]), strict=True):
+        if h.any():
+            out.append((chunk, None, _places(_places_back(x[1])[h].astype(np.uint32))))
     return pd.DataFrame(out, columns=["chunk", "head", "place"])
 
 
 def _gathered(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Head and all places of one batch. Batches of equal content share a name and have equal answers."""
-    head = _unpack(pdf["head"].dropna().iloc[0], np.uint64)
-    got = [_places_back(x) for x in pdf["place"].dropna()]
-    return head, np.unique(np.concatenate(got)) if got else np.empty(0, np.int64)
+    """Documents of a flush and all its places: known, answered, and equal to those answered."""
+    head, known, rep, also = pickle.loads(pdf["head"].dropna().iloc[0])
+    got = np.unique(np.concatenate([np.empty(0, np.int64), *[_places_back(x) for x in pdf["place"].dropna()]]))
+    rep, also = _numbers_back(rep).astype(np.int64), _numbers_back(also).astype(np.int64)
+    return _unpack(head, np.uint64), np.unique(np.concatenate([_places_back(known), got, also[np.isin(rep, got)]]))
 
 
 def _by_document(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Each document of a batch: its keys, and the spans of block hits in it."""
+    """Each document of a flush: its keys, and the spans of block hits in it."""
     head, at = _gathered(pdf)
     n = (len(head) - 1) // 4
     ids, k1, k2, starts = head[:n].view(np.int64), head[n : 2 * n], head[2 * n : 3 * n], head[3 * n :].astype(np.int64)
@@ -166,17 +210,12 @@ def _by_document(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _extend(parts: int):
-    """Windows that hold a hit, sent with what orders them: ids and starts of the batch's documents, in byte planes."""
+    """Windows that hold a hit, once a flush, with the document and the turn that order them. Where a flush has a window again, that is later for sure."""
 
     def run(it):
-        for b in it:
-            ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            h, starts, k1, k2 = _sequences(b.column(1))
-            chunk = _name_of(ids, k1)
-            head = _pack(np.concatenate([ids.view(np.uint64), k1, k2, starts.astype(np.uint64)]))
-            rows = [(chunk, -1 - chunk % 1024, None, None, None, None, head)]
+        for chunk, ids, h, starts, k1, k2, hits in _flushes(it):
             want = np.zeros(len(h) + 1, np.int64)
-            for spans, s, e in zip(b.column(2).to_pylist(), starts[:-1], starts[1:], strict=True):
+            for spans, s, e in zip(hits, starts[:-1], starts[1:], strict=True):
                 for a, z in np.frombuffer(spans or b"", np.uint32).reshape(-1, 2).astype(np.int64):
                     # a window holds the block at i if it starts in [i - (WINDOW - BLOCK), i]
                     want[max(s + a - (WINDOW - BLOCK), s)] += 1
@@ -184,44 +223,52 @@ def _extend(parts: int):
             at = _whole(starts, WINDOW)
             at = at[np.cumsum(want)[at] > 0]
             if len(at):
-                w, v = window_hash(h, WINDOW)[at], window_hash(h, WINDOW, _SECOND)[at]
-                order = _pack(np.concatenate([ids.view(np.uint64), starts.astype(np.uint64)]).view(np.uint8).reshape(-1, 8).T)
-                rows += _split(chunk, w, w, (v >> np.uint64(32)).astype(np.uint32), at, None, parts, order)
-            yield _rows(rows)
+                w, v = window_hash(h, WINDOW)[at], (window_hash(h, WINDOW, _SECOND)[at] >> np.uint64(32)).astype(np.uint32)
+            else:
+                w, v = np.empty(0, np.uint64), np.empty(0, np.uint32)
+            doc = np.searchsorted(starts, at, "right") - 1
+            turn = at - starts[doc]
+            order, first = _firsts(w, v, ids[doc], turn)
+            mine = order == first
+            later = (ids[doc][order] != ids[doc][first]) | (turn[order] != turn[first])
+            same = ~mine & ~later  # of repeated ids
+            yield _rows([(chunk, -1 - chunk, None, _head(ids, k1, k2, starts, np.sort(at[order[later]]), at[first[same]], at[order[same]]))])
+            some = np.sort(order[mine])
+            for p, x in _parts(w[some], parts):
+                x = some[x]
+                docs, code = np.unique(doc[x], return_inverse=True)
+                yield _rows([(chunk, p, pickle.dumps((w[x].tobytes(), v[x].tobytes(), _places(at[x].astype(np.uint32)), _numbers(turn[x]), _numbers(code), _pack(ids[docs]))), None)])
 
     return run
 
 
+def _firsts(low: np.ndarray, high: np.ndarray, ids: np.ndarray, turns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows sorted by window, id and turn, and for each the first row of its window."""
+    order = np.lexsort((turns, ids, high, low))
+    new = np.ones(len(order), bool)
+    new[1:] = (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1])
+    return order, order[np.flatnonzero(new)][np.cumsum(new) - 1]
+
+
 def _first_wins(pdf: pd.DataFrame) -> pd.DataFrame:
     """Places of the windows of a part that also start earlier: in a smaller id, or earlier in the same."""
-    out = [(r.chunk, r.head, None) for r in pdf[pdf.part < 0].itertuples()]
-    pdf = pdf[pdf.part >= 0]
-    if len(pdf):
-        low, high = np.frombuffer(b"".join(pdf.low), np.uint64), np.frombuffer(b"".join(pdf.high), np.uint32)
-        places, ids, turns = [], [], []
-        for head, place in zip(pdf["head"], pdf.place, strict=True):
-            x, at = np.ascontiguousarray(_unpack(head, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), _places_back(place)
-            n = len(x) // 2
-            starts = x[n:].astype(np.int64)
-            doc = np.searchsorted(starts, at, "right") - 1
-            places.append(at)
-            ids.append(x[:n].view(np.int64)[doc])
-            turns.append(at - starts[doc])
-        ids, turns = np.concatenate(ids), np.concatenate(turns)
-        order = np.lexsort((turns, ids, high, low))
-        new = np.ones(len(order), bool)
-        new[1:] = (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1])
-        first = order[np.flatnonzero(new)][np.cumsum(new) - 1]
-        later = np.zeros(len(order), bool)
-        later[order] = (ids[order] != ids[first]) | (turns[order] != turns[first])
-        for chunk, at, x in zip(pdf.chunk, places, np.split(later, np.cumsum([len(p) for p in places])[:-1]), strict=True):
-            if x.any():
-                out.append((chunk, None, _places(at[x].astype(np.uint32))))
+    if pdf.part.iloc[0] < 0:
+        return pd.DataFrame({"chunk": pdf.chunk, "head": pdf["head"], "place": None})
+    got, out = [pickle.loads(a) for a in pdf.asks], []
+    low, high = np.frombuffer(b"".join(x[0] for x in got), np.uint64), np.frombuffer(b"".join(x[1] for x in got), np.uint32)
+    turns = np.concatenate([_numbers_back(x[3]) for x in got]).astype(np.int64)
+    ids = np.concatenate([_unpack(x[5], np.int64)[_numbers_back(x[4])] for x in got])
+    order, first = _firsts(low, high, ids, turns)
+    later = np.zeros(len(order), bool)
+    later[order] = (ids[order] != ids[first]) | (turns[order] != turns[first])
+    for chunk, x, hit in zip(pdf.chunk, got, np.split(later, np.cumsum([len(x[1]) // 4 for x in got])[:-1]), strict=True):
+        if hit.any():
+            out.append((chunk, None, _places(_places_back(x[2])[hit].astype(np.uint32))))
     return pd.DataFrame(out, columns=["chunk", "head", "place"])
 
 
 def _cuts(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Each document of a batch that loses words: the spans of its repeated windows, merged."""
+    """Each document of a flush that loses words: the spans of its repeated windows, merged."""
     head, at = _gathered(pdf)
     n = (len(head) - 1) // 4
     ids, k1, k2, starts = head[:n].view(np.int64), head[n : 2 * n].view(np.int64), head[2 * n : 3 * n].view(np.int64), head[3 * n :].astype(np.int64)
@@ -254,7 +301,7 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     left = at.where(F.col("first").isNull() | (F.col("doc_id") == F.col("first")))
     left = settle(left.groupBy("doc_id").agg(F.collect_set(F.struct("k1", "k2", "hits")).alias("each")))
     with_text = docs.join(_near(docs, left, "doc_id", "aggregate(each, 0L, (n, x) -> n + length(x.hits) + 32)"), "doc_id").select("doc_id", "text", _matching("text", "each").alias("hits"))
-    parts = max(8, math.ceil(parts / 3))
+    parts = max(8, math.ceil(parts / 2))
     sent = with_text.where("hits is not null").mapInArrow(tidied(_extend(parts)), _SENT)
     cut = sent.groupBy("part").applyInPandas(tidied_group(_first_wins), _GOT).groupBy("chunk").applyInPandas(tidied_group(_cuts), "doc_id long, k1 long, k2 long, cuts binary")
     return cut.union(whole).groupBy("doc_id").agg(F.collect_set(F.struct("k1", "k2", "cuts")).alias("cuts"))
@@ -280,15 +327,20 @@ def _matching(text: str, each: str):
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", name: str = "repeats", with_text: bool = True) -> DataFrame:
-    """docs with a struct column name: n_words, n_removed, kept (the words left, joined by a space) and kept_sha256.
+    """docs with a new struct column `name`: n_words, n_removed, kept (the words left, joined by a space) and kept_sha256.
 
     A word goes if a 20-word window of its document covers it whose words also start earlier, in a
     document with a smaller id or before it in the same. Null and empty texts have no words; rows with
     a null id neither lose words nor make others lose any; of rows that repeat an id neither is earlier
-    at the same place; an empty table gives an empty result; other columns pass through.
+    at the same place, so equal rows lose the same words; texts count whole, one longer than a flush
+    being a flush; an empty table gives an empty result; other columns pass through. A column of that
+    name is an error.
     """
-    found = settle(repeats(docs, doc_id, text).withColumnsRenamed({"doc_id": "__cut_id", "cuts": "__cuts"}))
-    out = docs.join(_near(docs, found, "__cut_id", "aggregate(__cuts, 0L, (n, x) -> n + length(x.cuts) + 32)"), docs[doc_id] == found["__cut_id"], "left")
+    if name.lower() in (c.lower() for c in docs.columns):
+        raise ValueError(f"docs has a column {name}")
+    cut_id, cut_at = fresh(docs, "cut_id"), fresh(docs, "cuts")
+    found = settle(repeats(docs, doc_id, text).withColumnsRenamed({"doc_id": cut_id, "cuts": cut_at}))
+    out = docs.join(_near(docs, found, cut_id, f"aggregate({cut_at}, 0L, (n, x) -> n + length(x.cuts) + 32)"), docs[doc_id] == found[cut_id], "left")
 
     def run(texts: pa.Array, cuts: pa.Array) -> pa.Array:
         given = cuts.to_pylist()
@@ -315,7 +367,7 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", na
         return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), pa.array(sha, pa.string())], ["n_words", "n_removed", "kept", "kept_sha256"])
 
     kind = "n_words long, n_removed long, kept string, kept_sha256 string"
-    return out.withColumn(name, batch_udf(run, kind, F.col(text).cast("string"), F.col("__cuts"))).drop("__cut_id", "__cuts")
+    return out.withColumn(name, batch_udf(run, kind, F.col(text).cast("string"), F.col(cut_at))).drop(cut_id, cut_at)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

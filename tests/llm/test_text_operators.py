@@ -373,8 +373,8 @@ def test_substrings_match_brute_force(docs, empty):
     assert substrings.deduplicated(empty).count() == 0
 
 
-@pytest.mark.parametrize("seed", [3, 4])
-def test_substrings_of_repetitive_texts(spark, seed):
+@pytest.mark.parametrize("seed,limit", [(3, substrings.BROADCAST_BYTES), (4, 0)])
+def test_substrings_of_repetitive_texts(spark, monkeypatch, seed, limit):
     import random
 
     rng = random.Random(seed)
@@ -387,10 +387,21 @@ def test_substrings_of_repetitive_texts(spark, seed):
         given.append((rng.randrange(120), " ".join(w)))
     want = brute_repeats(given)
     df = spark.createDataFrame(given, "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(substrings, "BROADCAST_BYTES", limit)
+    monkeypatch.setattr(substrings, "PART_CHARS", 1500)
     got = sorted([(r.doc_id, *[r.repeats[c] for c in ("n_words", "n_removed", "kept_sha256")]) for r in substrings.deduplicated(df).collect()], key=repr)
     assert got == want
 
 
+def test_substrings_keep_clashing_columns(spark):
+    same = " ".join(f"w{i}" for i in range(40))
+    df = spark.createDataFrame([(1, same, 5), (2, same, 6), (2, same, 7), (None, same, 8)], "doc_id long, text string, __cuts int")
+    got = sorted((r.doc_id or 0, r["__cuts"], r.n.n_removed) for r in substrings.deduplicated(df, name="n").collect())
+    assert got == [(0, 8, 0), (1, 5, 0), (2, 6, 40), (2, 7, 40)]
+    with pytest.raises(ValueError):
+        substrings.deduplicated(df, name="TEXT")
+
+
 # language model
 
 
