@@ -72,7 +72,9 @@ def attributed(docs: DataFrame, path: str, pattern: str, text: str = "text", spa
 
     spans names a column array<struct<start, end>> of character offsets (end excluded); without it the
     parts are the text's lines. Null and empty texts have no tokens, and a null span or a null array
-    no parts; spans are clipped to the text; other columns pass through.
+    no parts; spans are clipped to the text; texts of any length are encoded at once and whole; ids play
+    no part, and rows, repeated or not, are counted each by itself; equal spans get equal counts; an
+    empty table gives an empty result; other columns, whatever their names, pass through.
     """
     if rule not in RULES:
         raise ValueError(f"rule is one of {RULES}")

@@ -221,7 +221,9 @@ def encoded(docs: DataFrame, path: str, pattern: str, text: str = "text", with_i
 
     path is a tiktoken rank file, pattern splits text into pieces that are encoded separately; text of
     special tokens is ordinary text. Null texts count as empty: no ids, and the digests of nothing.
-    Rows, repeated or not, are encoded independently; other columns pass through.
+    Texts of any length are encoded whole; of pairs of equal rank the leftmost merges first; ids play no
+    part, and rows, repeated or not, are encoded each by itself; an empty table gives an empty result;
+    other columns, whatever their names, pass through.
     """
     batches(docs.sparkSession)
     name = _ship(docs.sparkSession, path)
@@ -244,7 +246,9 @@ def encoded(docs: DataFrame, path: str, pattern: str, text: str = "text", with_i
 
 
 def decoded(df: DataFrame, path: str, ids: str = "ids", text: str = "text") -> DataFrame:
-    """df with column text: the ids' bytes as UTF-8, broken sequences replaced; null for null ids."""
+    """df with a new column `text`: the ids' bytes as UTF-8, broken sequences replaced; null for null ids. A column of that name is an error."""
+    if text.lower() in (c.lower() for c in df.columns):
+        raise ValueError(f"df has a column {text}")
     name = _ship(df.sparkSession, path)
 
     def run(lists: pa.Array) -> pa.Array:

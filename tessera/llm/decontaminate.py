@@ -11,14 +11,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, small_or_shuffled
+from .common import fresh, settle, small_or_shuffled
 
 #: Masks: 1 reads a token, 0 ignores it. All have the same span.
 MASKS = ("110110101011", "111001011011", "101110010111")
 #: Tokens before and after the seed that verification reads too, and the share of tokens that must agree.
 PAD, AGREE = 2, 0.8
-#: Seeds of the benchmark up to which they are broadcast.
-INDEX_ROWS = 500_000
+#: Seeds of the benchmark up to which they are broadcast, with up to 16 tokens' hashes each: 40 MB at most.
+INDEX_ROWS = 200_000
+#: Distinct keys of seeds up to which they are broadcast, as 64-bit numbers, so that only windows that hit are shuffled: 64 MB at most.
+KEY_ROWS = 2_000_000
 #: What separates tokens, in lower-cased text.
 BETWEEN = r"[^\p{L}\p{N}]+"
 
@@ -54,14 +56,16 @@ def _around(h: Column, at: Column, before: Column) -> Column:
     return F.slice(h, at - before + 1, before + _SPAN + PAD)
 
 
-def overlaps(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", limit: int = INDEX_ROWS) -> DataFrame:
+def overlaps(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", limit: int = INDEX_ROWS, keys: int = KEY_ROWS) -> DataFrame:
     """(doc_id, item_id, n_hits, most_equal): the pairs that overlap, with their verified hits.
 
     A hit is verified if, over the item's tokens from PAD before the seed to PAD after it (as far as
     the item goes), at least 80 % equal the document's at the same offset; tokens beyond either end of
     the document don't. Null and empty texts, and items or documents under 12 tokens, overlap with
-    nothing; rows with a null id are not reported; repeated rows add their hits; other columns are
-    ignored. A large benchmark's seeds are joined by a shuffle and the hits verified afterwards.
+    nothing; rows with a null id are not reported; repeated rows add their hits; texts count whole; an
+    exact share of 80 % is enough; empty tables give an empty result; other columns are ignored. A large
+    benchmark's seeds are joined by a shuffle, of the windows whose keys it has if their number allows
+    a broadcast, and the hits verified afterwards.
     """
     items = bench.where(F.col(item_id).isNotNull()).select(F.col(item_id).alias("item_id"), token_hashes(F.col(item_text)).alias("h"))
     index = seeds(items, ["item_id", "h"])
@@ -73,7 +77,11 @@ def overlaps(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: st
         hits = seeds(read, ["doc_id", "h"]).join(F.broadcast(index), "key")
     else:
         read = read.withColumn("same_text", F.xxhash64("h"))
-        found = seeds(read, ["doc_id", "same_text"]).join(small_or_shuffled(index, rows, limit), "key")
+        windows = seeds(read, ["doc_id", "same_text"])
+        known = settle(index.select("key").distinct())
+        if known.count() <= keys:
+            windows = windows.join(F.broadcast(known), "key", "left_semi")
+        found = windows.join(small_or_shuffled(index, rows, limit), "key")
         hits = found.join(read.dropDuplicates(["doc_id", "same_text"]), ["doc_id", "same_text"])
     # the tokens around a hit become a row of their own, so that it doesn't take its whole document along
     lead = F.greatest(F.col("before") - F.col("pos"), F.lit(0))
@@ -86,11 +94,16 @@ def overlaps(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: st
 
 
 def without_overlaps(docs: DataFrame, bench: DataFrame, text: str = "text") -> DataFrame:
-    """docs without those that overlap with an item. Each row is judged by its text (64 bits of hash stand for it), whether or not its id is null or repeated."""
-    key = F.xxhash64(F.col(text).cast("string"))
-    found = overlaps(docs.where(F.col(text).isNotNull()).select(key.alias("doc_id"), text), bench, "doc_id", text)
-    gone = settle(found.select(F.col("doc_id").alias("__gone")).distinct())
-    return docs.join(small_or_shuffled(gone), key == gone["__gone"], "left_anti")
+    """docs without those that overlap with an item.
+
+    Each row is judged by its whole text (64 bits of hash stand for it), whether or not its id is null or
+    repeated; null and empty texts and those of under 12 tokens stay; equal rows go or stay together; an
+    empty table gives an empty result; other columns, whatever their names, pass through.
+    """
+    key, name = F.xxhash64(F.col(text).cast("string")), fresh(docs, "gone")
+    found = overlaps(docs.where(F.col(text).isNotNull()).select(key.alias("doc_id"), F.col(text).alias("text")), bench, "doc_id", "text")
+    gone = settle(found.select(F.col("doc_id").alias(name)).distinct())
+    return docs.join(small_or_shuffled(gone), key == gone[name], "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -44,13 +44,15 @@ def without_boilerplate(docs: DataFrame, text: str = "text", host: str = "source
     """docs with the boilerplate lines of their host removed from text; also a struct column (its name
     is returned) of n_lines and n_removed.
 
-    Blank lines and null texts stay as they are (a null has 0 lines); a text may become empty; a null
-    host is a host; repeated rows are cleaned alike; an empty table gives an empty result; other
-    columns pass through.
+    Blank lines and null texts stay as they are (a null has 0 lines); an empty text is one blank line; a
+    text may become empty; texts of any length count whole, each line by 128 bits of hash; a line exactly
+    at the ratio stays; a null host is a host; ids play no part, so null and repeated ones don't matter,
+    and repeated rows are cleaned alike; an empty table gives an empty result; other columns, whatever
+    their names, pass through.
     """
     found = settle(boilerplate(docs, text, host, ratio, min_pages))
     name = fresh(docs, "lines")
-    h, b = f"{name}_host", f"{name}_drop"
+    h, b = fresh(docs, "lines_host"), fresh(docs, "lines_drop")
     found = found.toDF(h, b)
     few = (found.agg(F.sum(F.size(b))).first()[0] or 0) <= BROADCAST_ROWS
     out = docs.join(F.broadcast(found) if few else found.hint("merge"), docs[host].eqNullSafe(found[h]), "left").drop(h)

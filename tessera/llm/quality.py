@@ -134,8 +134,10 @@ def judged(docs: DataFrame, text: str = "text", lang: str = "lang", source: str
 
     Fails by rule: fewer than 10 words, or over 20 % of words in repeated 5-word windows. Otherwise a
     document is kept if its mean word length, symbols per word and share of repeated lines are within
-    its group's fences. Null and empty texts fail; a null lang or source is a group like any other;
-    repeated rows are judged alike; an empty table gives an empty result. Other columns pass through.
+    its group's fences, the fences included. Null and empty texts fail; texts of any length are measured
+    whole; a null lang or source is a group like any other; ids play no part, and repeated rows are
+    counted and judged alike; an empty table gives an empty result. Other columns, whatever their names,
+    pass through.
     once: materialise the counts instead of computing them again for the second pass; for narrow docs.
     """
     batches(docs.sparkSession)
@@ -143,7 +145,7 @@ def judged(docs: DataFrame, text: str = "text", lang: str = "lang", source: str
     df = docs.withColumn(name, counts(docs[text]))
     df = settle(df.drop(text)) if once else df
     fences = settle(thresholds(df, df[lang], df[source], df[name], min_group, reach))
-    l, s, lo, hi = (f"{name}_{x}" for x in ("lang", "source", "lo", "hi"))
+    l, s, lo, hi = (fresh(df, f"quality_{x}") for x in ("lang", "source", "lo", "hi"))
     fences = small_or_shuffled(fences.toDF(l, s, lo, hi))
     out = df.join(fences, df[lang].eqNullSafe(fences[l]) & df[source].eqNullSafe(fences[s]), "left").drop(l, s)
     m, inside = F.col(name), F.lit(True)

@@ -116,8 +116,9 @@ def judged(pages: DataFrame, outcomes: DataFrame, page_id: str = "page_id", url:
 
     outcomes (page_id, good boolean) labels some pages; a page with several is good if all are, and
     those with a null are ignored. Null urls and urls without :// have an empty host, which is a host
-    like any other; repeated pages count as often as they occur; null ids are judged but never
-    labelled; other columns pass through; an empty table gives an empty result.
+    like any other; urls of any length count whole; of rules of equal length that fit the first given
+    wins; repeated pages count as often as they occur; null ids are judged but never labelled; other
+    columns, whatever their names, pass through; an empty table gives an empty result.
     """
     name = fresh(pages, "url")
     host, path = host_and_path(F.col(url))
@@ -126,12 +127,12 @@ def judged(pages: DataFrame, outcomes: DataFrame, page_id: str = "page_id", url:
     known = outcomes.where("page_id is not null and good is not null").groupBy("page_id").agg(F.min(F.col("good").cast("int")).alias("good"))
     labelled = df.select(F.col(page_id).alias("page_id"), F.col(f"{name}.host").alias("host")).join(known, "page_id", "left")
     hosts = labelled.groupBy("host").agg(F.count("good").cast("double").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).cast("double").alias("k"))
-    h = f"{name}_host"
-    rep = settle(reputations(hosts, floor)).toDF(h, f"{name}_a", f"{name}_b", f"{name}_p")
+    h, a, b, low = (fresh(df, f"url_{x}") for x in ("host", "a", "b", "below"))
+    rep = settle(reputations(hosts, floor)).toDF(h, a, b, low)
     out = df.join(small_or_shuffled(rep), F.col(f"{name}.host") == F.col(h), "left")
-    verdict = F.coalesce(action, F.when(F.col(f"{name}_p") >= sure, "block").otherwise("allow"))
+    verdict = F.coalesce(action, F.when(F.col(low) >= sure, "block").otherwise("allow"))
     fields = F.col(name)
-    for k, v in (("rule", rule), ("verdict", verdict), ("a", F.col(f"{name}_a")), ("b", F.col(f"{name}_b")), ("p_below", F.col(f"{name}_p"))):
+    for k, v in (("rule", rule), ("verdict", verdict), ("a", F.col(a)), ("b", F.col(b)), ("p_below", F.col(low))):
         fields = fields.withField(k, v)
     return out.withColumn(name, fields).select(*[out[c] for c in pages.columns], name), name
 

@@ -107,6 +107,45 @@ def test_quality_edge_cases(docs, empty):
     assert out.count() == docs.count() and quality.keep_good(empty).count() == 0
 
 
+def test_quality_verdict_equals_brute_force(spark):
+    """Fences from exact quantiles of each group, its language or all; documents that the sketch's 1 % puts beside a fence may fall on either side."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
+    for reach, least in ((quality.REACH, 30), (1.0, quality.MIN_GROUP)):
+        out, name = quality.judged(docs, min_group=least, reach=reach)
+        given = [(r.doc_id, r.lang, r.source, brute_counts(r.text), r[name].kept, len([x for x in (r.text or "").split("\n") if WORD.search(x)])) for r in out.collect()]
+
+        def rates(m, lines):
+            n = max(m[0], 1)
+            return m[1] / n, m[2] / n, m[3] / max(lines, 1)
+
+        good = [(lang, src, rates(m, ln)) for _, lang, src, m, _, ln in given if m[0] >= 10 and 100 * m[4] <= 20 * m[0]]
+        groups = collections.defaultdict(list)
+        for lang, src, r in good:
+            for key in ((lang, src), (lang,), ()):
+                groups[key].append(r)
+
+        def fence(lang, src, i):
+            key = next(k for k in ((lang, src), (lang,), ()) if len(groups[k]) >= least or k == ())
+            x = sorted(r[i] for r in groups[key])
+            low, high = (x[max(math.ceil(len(x) * p) - 1, 0)] for p in quality.METRICS[i][4])
+            d = max(high - low, quality.METRICS[i][1]) * reach
+            return low - d if quality.METRICS[i][2] else -math.inf, high + d if quality.METRICS[i][3] else math.inf
+
+        sure = rejected = 0
+        for _, lang, src, m, kept, ln in given:
+            if m[0] < 10 or 100 * m[4] > 20 * m[0]:
+                assert not kept
+                continue
+            r = rates(m, ln)
+            bounds = [fence(lang, src, i) for i in range(3)]
+            slack = [0.0101 * max(abs(lo) if lo > -math.inf else 0, abs(hi), 0.01) * (1 + 2 * reach) for lo, hi in bounds]
+            if all(min(abs(v - lo), abs(v - hi)) > e for v, (lo, hi), e in zip(r, bounds, slack)):
+                sure += 1
+                assert kept == all(lo <= v <= hi for v, (lo, hi) in zip(r, bounds)), (r, bounds)
+            rejected += not kept
+        assert sure > 0.5 * len(good) and rejected > 0
+
+
 # line deduplication
 
 
@@ -233,9 +272,9 @@ def bench(spark, docs):
     return spark.createDataFrame(items, "item_id long, text string")
 
 
-@pytest.mark.parametrize("limit", [decontaminate.INDEX_ROWS, 0])
-def test_decontamination_matches_sql(docs, bench, limit):
-    got = sorted((r.doc_id, r.item_id, r.n_hits, r.most_equal) for r in decontaminate.overlaps(docs, bench, limit=limit).collect())
+@pytest.mark.parametrize("limit,keys", [(decontaminate.INDEX_ROWS, 0), (0, decontaminate.KEY_ROWS), (0, 0)])
+def test_decontamination_matches_sql(docs, bench, limit, keys):
+    got = sorted((r.doc_id, r.item_id, r.n_hits, r.most_equal) for r in decontaminate.overlaps(docs, bench, limit=limit, keys=keys).collect())
     b = bench.toPandas().astype({"item_id": "Int64"})
     d = docs.toPandas().astype({"doc_id": "Int64"})
     con = duckdb.connect()
@@ -281,7 +320,7 @@ def test_encoding_equals_the_library(docs, ranks):
         assert list(r[name].ids) == ids and r[name].n_tokens == len(ids)
         assert r[name].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert r[name].decoded_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest()
-    back = bpe.decoded(out.select("text", F.col(f"{name}.ids").alias("ids")).withColumnRenamed("text", "was"), bpe.multi()[0])
+    back = bpe.decoded(out.select(F.col("text").alias("was"), F.col(f"{name}.ids").alias("ids")), bpe.multi()[0])
     assert all((r.was or "") == r.text for r in back.collect())
 
 
@@ -597,5 +636,41 @@ def test_sampler_agrees_with_customer_by_customer_seating():
     assert mine == pytest.approx(want / 2800, abs=0.025)
 
 
+def test_columns_of_any_name_pass_through(spark, docs):
+    import public_tokenizers
+
+    names = ["__lines", "__lines_host", "__lines_drop", "__quality", "__quality_lo", "__bpe", "__tokens", "__gone", "__key"]
+    df = docs.select("doc_id", "text", "lang", "source", "n_chars", *[F.lit(i).alias(n) for i, n in enumerate(names)])
+    path = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    none = spark.createDataFrame([], "item_id long, text string")
+    for out in (linededup.clean(df), quality.keep_good(df), neardup.one_of_each(df), decontaminate.without_overlaps(df, none)):
+        assert out.columns == df.columns and all(r[n] == i for r in out.select(*names).limit(5).collect() for i, n in enumerate(names))
+    for out, name in (linededup.without_boilerplate(df), quality.judged(df), bpe.encoded(df, *path), attribution.attributed(df, *path)):
+        assert out.columns == [*df.columns, name] and out.count() == df.count()
+
+
+def test_one_very_long_text(spark):
+    """A text of over a million words, beside a short one that repeats a passage of it."""
+    words = [f"w{i * 7919 % 50021}" for i in range(1_100_000)]
+    df = spark.createDataFrame([(1, " ".join(words), "en", "s", 0), (2, "a b " + " ".join(words[500_000:500_040]), "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.repeats for r in substrings.deduplicated(df, with_text=False).collect()}
+    assert got[2].n_removed == 40 and got[1].n_words == len(words)
+    assert {r.doc_id for r in neardup.one_of_each(df).collect()} == {1, 2}
+    scored = {r.doc_id: r for r in pitman_yor.scores(df.withColumn("held", F.lit(False)), "held").collect()}
+    assert scored[1].n_tokens == len(words) + 1 and scored[2].n_known == 43
+    item = spark.createDataFrame([(9, " ".join(words[900_000:900_030]))], "item_id long, text string")
+    assert [r.doc_id for r in decontaminate.overlaps(df, item).collect()] == [1]
+    assert linededup.clean(df).where("doc_id = 1").first().n_chars == len(" ".join(words))
+
+
+@pytest.mark.parametrize("name", ["op6_token_counts", "op8_toxicity", "op9_byte_bpe", "op3_quality_rules", "op1_url_filter"])
+def test_queries_of_empty_tables(spark, tmp_path, name):
+    from tessera.llm import registry
+
+    for t, kind in (("documents", SCHEMA), ("labels", "doc_id long, quality int, toxic int"), ("pages", "page_id long, url string, html string")):
+        spark.createDataFrame([], kind).write.parquet(str(tmp_path / f"{t}.parquet"))
+    assert registry.QUERIES[name](spark, str(tmp_path)).count() == 0
+
+
 def test_rows_are_what_the_fixture_says():
     assert len(rows()) == 130 and pd.Series([r[0] for r in rows()]).isna().sum() == 2
