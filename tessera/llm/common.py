@@ -36,12 +36,15 @@ def small_or_shuffled(df: DataFrame, rows: int | None = None, limit: int = BROAD
     return F.broadcast(df) if n <= limit else df.hint("merge")
 
 
-def beside(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+def beside(left: DataFrame, right: DataFrame, key: str, most: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Inner join of left (settled) to right, which has one row a key, on a key of which some values may have much of left.
 
-    Values with a share of SHARE or more, at most 1 / SHARE of them, are joined by a broadcast of right's
-    rows for them; the others by a shuffle, in which none of them is then large.
+    Where right is known to have `most` rows, and they are within the limit, it is broadcast. Otherwise
+    values with a share of SHARE or more of left, at most 1 / SHARE of them, are joined by a broadcast of
+    right's rows for them; the others by a shuffle, in which none of them is then large.
     """
+    if most is not None and most <= limit:
+        return left.join(F.broadcast(right), key)
     n = left.count()
     much = left.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= max(n * SHARE, 2)).select(key)
     much = settle(much)

@@ -7,21 +7,22 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import beside, settle
+from .common import BROADCAST_ROWS, beside, settle
 
 #: Edges to a task: a small graph is not spread over many tasks and files, a large one over as many as it needs.
 TOGETHER = 50_000
 
 
-def _large_star(e: DataFrame, tasks: int) -> DataFrame:
+def _large_star(e: DataFrame, n: int, tasks: int) -> DataFrame:
     both = e.union(e.select("v", "u"))
     low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return beside(both, low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(tasks)
+    return beside(both, low, "u", 2 * n).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(tasks)
 
 
-def _small_star(e: DataFrame, tasks: int) -> DataFrame:
-    low = settle(e.groupBy("u").agg(F.min("v").alias("m")).coalesce(tasks))
-    moved = beside(e, low, "u").where(F.col("v") > F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+def _small_star(e: DataFrame, n: int, tasks: int) -> DataFrame:
+    low = e.groupBy("u").agg(F.min("v").alias("m")).coalesce(tasks)
+    low = settle(low) if n > BROADCAST_ROWS else low
+    moved = beside(e, low, "u", n).where(F.col("v") > F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(low.select("u", F.col("m").alias("v"))).distinct().coalesce(tasks)
 
 
@@ -40,7 +41,8 @@ def components(edges: DataFrame) -> DataFrame:
     was = _print(e)
     while was[0]:
         tasks = 2 * math.ceil(was[0] / TOGETHER)
-        e = settle(_small_star(settle(_large_star(e, tasks)), tasks))
+        large = _large_star(e, was[0], tasks)
+        e = settle(_small_star(settle(large) if was[0] > BROADCAST_ROWS else large, was[0], tasks))
         now = _print(e)
         if now == was:
             break

@@ -4,8 +4,8 @@ sets, and connected components.
 Documents with equal shingle sets form a class, a node of the graph; all further work is on classes.
 Every bucket's members are compared with its smallest member. Where that leaves the classes that buckets
 connect in several components, those outside the largest are compared with all others of it: within the
-whole connected set where it is small, within each bucket where it is not, in blocks, so no bucket has a
-cap. Links are confirmed on full sets. At a similarity of 0.8, 32 bands of 4 miss a pair with a
+whole connected set where those outside are few, within each bucket where they are not, in blocks, so no
+bucket has a cap. Links are confirmed on full sets. At a similarity of 0.8, 32 bands of 4 miss a pair with a
 probability of 5e-8, and the signature filter with 4e-7.
 """
 
@@ -27,6 +27,8 @@ BANDS, ROWS = 32, 4
 LEAST_EQUAL = 0.62
 #: Documents that are compared with as many others in one task.
 BLOCK = 512
+#: Blocks of classes outside a connected set's largest component up to which they are compared within the whole set: each text then travels once a block, otherwise once a bucket.
+FEW_BLOCKS = 8
 _PERMS = BANDS * ROWS
 _RNG = np.random.Generator(np.random.PCG64(20240607))
 _A = _RNG.integers(0, 1 << 63, _PERMS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -176,8 +178,7 @@ def _linked(percent: int):
 def _rest(members: DataFrame, stars: DataFrame, comps: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame | None:
     """Links between the components that the stars' links left.
 
-    members (key, node) are the buckets. Within a group, a small connected set of buckets or one bucket of
-    a large one, classes of the group's largest component are compared only with those outside it. None
+    members (key, node) are the buckets. Within a group, a connected set of buckets or one bucket, classes of the group's largest component are compared only with those outside it. None
     if nothing is left.
     """
     sets = settle(components(stars).withColumnsRenamed({"component": "grp"}))
@@ -186,10 +187,10 @@ def _rest(members: DataFrame, stars: DataFrame, comps: DataFrame, classes: DataF
     open_sets = settle(sizes(at))
     if open_sets.isEmpty():
         return None
-    left = at.join(small_or_shuffled(open_sets.select("grp", "n")), "grp")
-    few = left.where(F.col("n") <= BLOCK).select("node", "grp", "comp")
-    # classes of large sets, once for each of their buckets
-    many = settle(left.where(F.col("n") > BLOCK).select("node", "comp"))
+    left = at.join(small_or_shuffled(open_sets.select("grp", (F.col("n") - F.col("most") <= FEW_BLOCKS * BLOCK).alias("few"))), "grp")
+    few = left.where("few").select("node", "grp", "comp")
+    # the other classes, once for each of their buckets
+    many = settle(left.where("not few").select("node", "comp"))
     each = members.join(small_or_shuffled(many), "node").select("node", F.xxhash64(F.lit(1), "key").alias("grp"), "comp")
     every = settle(few.union(each))
     groups = settle(sizes(every).select("grp", "main", F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int").alias("nu"), F.ceil(F.col("most") / BLOCK).cast("int").alias("nm")))
@@ -240,7 +241,7 @@ def _classed(docs: DataFrame, doc_id: str, text: str, k: int, percent: int) -> t
         comps = settle(components(links.union(rest)))
     to = settle(classes.select("node", "k1", "k2", "n_shingles", "class_id").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("node"))
     least = to.groupBy("component").agg(F.min("class_id").alias("component_id"))
-    return base.drop("sig"), settle(beside(to, least, "component"))
+    return base.drop("sig"), settle(beside(to, least, "component", to.count()))
 
 
 def text_key(text: Column) -> Column:
@@ -288,7 +289,7 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
     rows = settle(rows)
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_key").alias("key"))
     best = rows.groupBy("component").agg(F.min(rank).alias("best"))
-    ranked = settle(beside(rows, best, "component").withColumn("stays", rank == F.col("best")))
+    ranked = settle(beside(rows, best, "component", rows.count()).withColumn("stays", rank == F.col("best")))
     i, t, here = fresh(docs, "gone_id"), fresh(docs, "gone_key"), fresh(docs, "key")
     keyed = docs.withColumn(here, text_key(F.col(text).cast("string")))
     same = lambda d: F.col(doc_id).cast("long").eqNullSafe(d[i]) & (F.col(here) == d[t])

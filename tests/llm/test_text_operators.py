@@ -233,8 +233,8 @@ def test_one_of_each_judges_rows_by_their_text(spark):
     assert neardup.one_of_each(only).count() == 2
 
 
-@pytest.mark.parametrize("block", [neardup.BLOCK, 4])
-def test_classes_that_buckets_connect_but_no_link_does(spark, monkeypatch, block):
+@pytest.mark.parametrize("block,limit", [(neardup.BLOCK, common.BROADCAST_ROWS), (4, 0)])
+def test_classes_that_buckets_connect_but_no_link_does(spark, monkeypatch, block, limit):
     """Variants of one text that are similar in a chain or too little, in sets larger and smaller than a block."""
     import random
 
@@ -248,6 +248,10 @@ def test_classes_that_buckets_connect_but_no_link_does(spark, monkeypatch, block
             given.append((rng.randrange(1000), " ".join(w)))
     given = list({i: (i, t) for i, t in given}.values())
     monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "FEW_BLOCKS", 8 * (limit > 0))
+    monkeypatch.setattr(components, "BROADCAST_ROWS", limit)
+    monkeypatch.setattr(common.beside, "__defaults__", (None, limit))
+    monkeypatch.setattr(common.small_or_shuffled, "__defaults__", (None, limit))
     got = neardup.near_duplicates(spark.createDataFrame(given, "doc_id long, text string")).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == jaccard_components(given, 5, 80)
 
@@ -256,10 +260,13 @@ def test_near_duplicates_of_nothing(empty):
     assert neardup.near_duplicates(empty).count() == 0 and neardup.one_of_each(empty).columns == empty.columns
 
 
-def test_components_of_a_long_path(spark):
+def test_components_of_a_long_path(spark, monkeypatch):
     path = [(i, i + 1) for i in range(60)] + [(100, 100), (200, 201), (201, 200), (None, 5)]
-    got = {r.node: r.component for r in components.components(spark.createDataFrame(path, "u long, v long")).collect()}
-    assert got == {**{i: 0 for i in range(61)}, 200: 200, 201: 200}
+    for limit in (components.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(components, "BROADCAST_ROWS", limit)
+        monkeypatch.setattr(common.beside, "__defaults__", (None, limit))
+        got = {r.node: r.component for r in components.components(spark.createDataFrame(path, "u long, v long")).collect()}
+        assert got == {**{i: 0 for i in range(61)}, 200: 200, 201: 200}
 
 
 # decontamination
