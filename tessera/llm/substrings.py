@@ -34,8 +34,6 @@ from .common import batch_udf, batches, flat_words, fresh, mix, settle, tidied,
 WINDOW, BLOCK = 20, 10
 #: Bytes of text in a flush, and characters of text to each part of the hash range.
 FLUSH_BYTES, PART_CHARS = 8_000_000, 12_000_000
-#: Bytes up to which the places found are broadcast to the documents.
-BROADCAST_BYTES = 4 << 20
 _SECOND = np.uint64(0xD6E8FEB86659FD93)
 _NOTHING = np.empty(0, np.int64)
 _SENT = "chunk long, part long, asks binary, head binary"
@@ -71,7 +69,7 @@ def _spans(at: np.ndarray, width: int) -> np.ndarray:
 def _parts(h: np.ndarray, parts: int):
     """(part, rows) for each part that has windows, rows in their order."""
     part = ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
+    order = np.argsort(part.astype(np.uint16) if parts < 65536 else part, kind="stable")
     bounds = np.searchsorted(part[order], np.arange(parts + 1))
     for p in np.flatnonzero(np.diff(bounds)):
         yield int(p), order[bounds[p] : bounds[p + 1]]
@@ -151,7 +149,7 @@ def _probe(parts: int):
             at = real[at]  # windows of documents that are long enough
             w = window_hash(h, BLOCK)[at] if len(at) else np.empty(0, np.uint64)
             flag = (at - np.repeat(starts[:-1], n)[at]) % BLOCK == 0
-            order = np.argsort(w, kind="stable")
+            order = np.argsort(w)
             new = np.ones(len(w), bool)
             new[1:] = w[order][1:] != w[order][:-1]
             first = np.flatnonzero(new)
@@ -213,7 +211,8 @@ def _extend(parts: int):
     """Windows that hold a hit, once a flush, with the document and the turn that order them. Where a flush has a window again, that is later for sure."""
 
     def run(it):
-        for chunk, ids, h, starts, k1, k2, hits in _flushes(it):
+        for chunk, ids, h, starts, k1, k2, each in _flushes(it):
+            hits = _pick(zip(k1.view(np.int64).tolist(), k2.view(np.int64).tolist(), strict=True), each, "hits")
             want = np.zeros(len(h) + 1, np.int64)
             for spans, s, e in zip(hits, starts[:-1], starts[1:], strict=True):
                 for a, z in np.frombuffer(spans or b"", np.uint32).reshape(-1, 2).astype(np.int64):
@@ -277,12 +276,6 @@ def _cuts(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["doc_id", "k1", "k2", "cuts"])
 
 
-def _near(docs: DataFrame, found: DataFrame, on: str, size: str) -> DataFrame:
-    """docs joined to found, a settled frame with one row an id: broadcast if its bytes are few."""
-    n = found.agg(F.coalesce(F.sum(F.expr(size) + 64), F.lit(0))).first()[0]
-    return F.broadcast(found) if n <= BROADCAST_BYTES else found.hint("merge")
-
-
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, cuts): for each id with words to remove, an array of (k1, k2, cuts), the key of the text
     that loses them and its word spans as uint32 pairs."""
@@ -300,9 +293,9 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     whole = at.where(F.col("doc_id") > F.col("first")).select("doc_id", "k1", "k2", _span_of("n_words").alias("cuts"))
     left = at.where(F.col("first").isNull() | (F.col("doc_id") == F.col("first")))
     left = settle(left.groupBy("doc_id").agg(F.collect_set(F.struct("k1", "k2", "hits")).alias("each")))
-    with_text = docs.join(_near(docs, left, "doc_id", "aggregate(each, 0L, (n, x) -> n + length(x.hits) + 32)"), "doc_id").select("doc_id", "text", _matching("text", "each").alias("hits"))
+    with_text = docs.join(left, "doc_id").select("doc_id", "text", "each")
     parts = max(8, math.ceil(parts / 2))
-    sent = with_text.where("hits is not null").mapInArrow(tidied(_extend(parts)), _SENT)
+    sent = with_text.mapInArrow(tidied(_extend(parts)), _SENT)
     cut = sent.groupBy("part").applyInPandas(tidied_group(_first_wins), _GOT).groupBy("chunk").applyInPandas(tidied_group(_cuts), "doc_id long, k1 long, k2 long, cuts binary")
     return cut.union(whole).groupBy("doc_id").agg(F.collect_set(F.struct("k1", "k2", "cuts")).alias("cuts"))
 
@@ -322,10 +315,6 @@ def _pick(keys, each, field: str) -> list[bytes | None]:
     return [next((x[field] for x in xs or () if (x["k1"], x["k2"]) == k), None) for k, xs in zip(keys, each, strict=True)]
 
 
-def _matching(text: str, each: str):
-    return batch_udf(lambda t, e: pa.array(_pick(_keys(t), e.to_pylist(), "hits"), pa.binary()), "binary", text, each)
-
-
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", name: str = "repeats", with_text: bool = True) -> DataFrame:
     """docs with a new struct column `name`: n_words, n_removed, kept (the words left, joined by a space) and kept_sha256.
 
@@ -340,7 +329,7 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", na
         raise ValueError(f"docs has a column {name}")
     cut_id, cut_at = fresh(docs, "cut_id"), fresh(docs, "cuts")
     found = settle(repeats(docs, doc_id, text).withColumnsRenamed({"doc_id": cut_id, "cuts": cut_at}))
-    out = docs.join(_near(docs, found, cut_id, f"aggregate({cut_at}, 0L, (n, x) -> n + length(x.cuts) + 32)"), docs[doc_id] == found[cut_id], "left")
+    out = docs.join(found, docs[doc_id] == found[cut_id], "left")
 
     def run(texts: pa.Array, cuts: pa.Array) -> pa.Array:
         given = cuts.to_pylist()

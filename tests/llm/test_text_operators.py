@@ -419,7 +419,7 @@ def test_substrings_match_brute_force(docs, empty):
     assert substrings.deduplicated(empty).count() == 0
 
 
-@pytest.mark.parametrize("seed,limit", [(3, substrings.BROADCAST_BYTES), (4, 0)])
+@pytest.mark.parametrize("seed,limit", [(3, "10MB"), (4, "-1")])
 def test_substrings_of_repetitive_texts(spark, monkeypatch, seed, limit):
     import random
 
@@ -433,9 +433,10 @@ def test_substrings_of_repetitive_texts(spark, monkeypatch, seed, limit):
         given.append((rng.randrange(120), " ".join(w)))
     want = brute_repeats(given)
     df = spark.createDataFrame(given, "doc_id long, text string").repartition(4)
-    monkeypatch.setattr(substrings, "BROADCAST_BYTES", limit)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     monkeypatch.setattr(substrings, "PART_CHARS", 1500)
     got = sorted([(r.doc_id, *[r.repeats[c] for c in ("n_words", "n_removed", "kept_sha256")]) for r in substrings.deduplicated(df).collect()], key=repr)
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert got == want
 
 
