@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_udf, batches, flat_words, fresh, mix, settle, tidied, tidied_group, window_hash, word_hashes, words
+from .common import batch_udf, batches, flat_words, fresh, mix, settle, small_or_shuffled, tidied, tidied_group, window_hash, word_hashes, words
 
 #: Words of a window that may not repeat, and of a block; 2 * BLOCK - 1 <= WINDOW + 1 words.
 WINDOW, BLOCK = 20, 10
@@ -289,7 +289,7 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     # of documents of equal words only those of the smallest id can hold a first occurrence; the others go whole
     key = ["k1", "k2", "n_words"]
     many = settle(found.groupBy(*key).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where(F.col("first") < F.col("last")).drop("last"))
-    at = found.where("hits is not null").join(many.hint("merge"), key, "left")
+    at = found.where("hits is not null").join(small_or_shuffled(many), key, "left")
     whole = at.where(F.col("doc_id") > F.col("first")).select("doc_id", "k1", "k2", _span_of("n_words").alias("cuts"))
     left = at.where(F.col("first").isNull() | (F.col("doc_id") == F.col("first")))
     left = settle(left.groupBy("doc_id").agg(F.collect_set(F.struct("k1", "k2", "hits")).alias("each")))
